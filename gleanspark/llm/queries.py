@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanspark.llm import bpe, exact_dedup, line_dedup, packing, pii
+from gleanspark.llm import bpe, exact_dedup, line_dedup, mpeg_audio, packing, pii
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +38,26 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parsed = mpeg_audio.parse_media(mpeg_audio.encode_media(_documents(spark, sf_dir)))
+    a = F.col("audio")
+    feature = F.format_string(
+        "frames=%d;samples=%d;rate=%d;duration_us=%d;crc_ok=%d;crc_bad=%d;resyncs=%d;bitrates=%s;seek=%s",
+        a["frames"], a["samples"], a["rate"], F.floor(a["samples"] * 1000000 / a["rate"]), a["crc_ok"], a["crc_bad"], a["resyncs"], a["bitrates"],
+        F.md5(F.array_join(a["offsets"], ",")),
+    )
+    return parsed.select(
+        "doc_id",
+        F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
+        F.octet_length(a["payload"]).cast("long").alias("payload_bytes"),
+        F.sha2(a["payload"], 256).alias("payload_sha256"),
+        F.crc32(F.substring(a["payload"], -16, 16)).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        feature.alias("feature"),
+    )
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_documents(spark, sf_dir))
 
@@ -77,6 +97,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op3_pii": op3_pii,
+    "op4_mpeg_audio": op4_mpeg_audio,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_line_dedup": op7_line_dedup,
     "op9_packing": op9_packing,
