@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanspark.llm import bpe, exact_dedup, line_dedup, mpeg_audio, packing, pii
+from gleanspark.llm import bpe, exact_dedup, language_id, line_dedup, mpeg_audio, packing, pii
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,6 +90,16 @@ FROM m GROUP BY doc_id
 """
 
 
+def _fold(modulus: int):  # noqa: ANN202
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", F.coalesce(_fold(4) == 2, F.lit(False)).alias("held_out"))
+    labels, prototypes = language_id.train(docs.where(_fold(4) != 2))
+    return language_id.predict(docs.select("doc_id", "text", "held_out"), labels, prototypes).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -100,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mpeg_audio": op4_mpeg_audio,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_line_dedup": op7_line_dedup,
+    "op8_language_id": op8_language_id,
     "op9_packing": op9_packing,
 }
 ORACLE_SQL: dict[str, str] = {"op6_exact_dedup": OP6_SQL, "op7_line_dedup": OP7_SQL}
