@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanspark.llm import bpe, exact_dedup, language_id, line_dedup, mpeg_audio, packing, pii
+from gleanspark.llm import bpe, exact_dedup, language_id, line_dedup, mpeg_audio, packing, pii, quality
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,6 +104,14 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(_fold(3) != 1)
+    model = quality.fit(docs, labels)
+    return quality.score(docs, model).select("doc_id", F.coalesce(_fold(3) == 1, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op3_pii": op3_pii,
@@ -112,5 +120,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_line_dedup": op7_line_dedup,
     "op8_language_id": op8_language_id,
     "op9_packing": op9_packing,
+    "op10_quality": op10_quality,
 }
 ORACLE_SQL: dict[str, str] = {"op6_exact_dedup": OP6_SQL, "op7_line_dedup": OP7_SQL}
