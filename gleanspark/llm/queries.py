@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanspark.llm import bpe, exact_dedup, language_id, line_dedup, mpeg_audio, packing, pii, quality
+from gleanspark.llm import bpe, exact_dedup, language_id, line_dedup, mpeg_audio, near_dedup, packing, pii, quality, sharding
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_classes(_documents(spark, sf_dir)).select("doc_id", "class_id", "class_size", F.col("first").alias("kept"))
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(_documents(spark, sf_dir)).select("doc_id", "pii")
     counts = [F.size(F.col("pii")[k]).cast("long").alias(f"n_{k}") for k in pii.BASE_KINDS]
@@ -58,6 +62,11 @@ def op4_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sharded = sharding.shard_documents(_documents(spark, sf_dir))
+    return sharded.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_documents(spark, sf_dir))
 
@@ -114,8 +123,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_near_dedup": op2_near_dedup,
     "op3_pii": op3_pii,
     "op4_mpeg_audio": op4_mpeg_audio,
+    "op5_sharding": op5_sharding,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_line_dedup": op7_line_dedup,
     "op8_language_id": op8_language_id,
