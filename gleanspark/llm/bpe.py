@@ -24,7 +24,6 @@ words are encoded whole; other columns pass through ``encode`` and ``decode``.
 
 from __future__ import annotations
 
-import hashlib
 import json
 from collections.abc import Iterator
 from functools import lru_cache
@@ -34,7 +33,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from gleanspark.llm.packing import byte_alphabet
 from gleanspark.session import materialize
@@ -49,6 +47,7 @@ class ByteBpe:
     """A byte-level BPE file of the tokenizers library: ids of words, pieces of ids."""
 
     def __init__(self, path: str) -> None:
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
@@ -60,11 +59,25 @@ class ByteBpe:
         self.specials = [t["content"] for t in spec["added_tokens"]]
         known = {i: bytes(letters[c] for c in t) for t, i in spec["model"]["vocab"].items()}
         known |= {t["id"]: t["content"].encode() for t in spec["added_tokens"]}
+        merged = {bytes(letters[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in self.specials}
+        #: Words between NULs; each NUL is an id of its own.
+        self.batch = tiktoken.Encoding("batch", pat_str=r"[^\x00]+|\x00", mergeable_ranks=merged, special_tokens={})
+        self.nul = merged[b"\0"]
         self.pieces = pa.array([known.get(i, b"") for i in range(max(known) + 1)], pa.large_binary())
 
-    def words(self, words: list[str]) -> list[list[int]]:
-        """The ids of each word; a word is one match of the pre-tokenizer, or a special token."""
-        return [e.ids for e in self.whole.encode_batch_fast(words, add_special_tokens=False)]
+    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids of words and how many each has; a word is one match of the pre-tokenizer, or a special token."""
+        odd = {i: self.whole.encode(w, add_special_tokens=False).ids for i, w in enumerate(words) if "\0" in w or w in self.specials}
+        flat = np.array(self.batch.encode_ordinary("".join(("x" if i in odd else w) + "\0" for i, w in enumerate(words))), dtype=np.int32)
+        ends = np.flatnonzero(flat == self.nul)
+        lengths = np.diff(ends, prepend=-1) - 1
+        flat = flat[flat != self.nul]
+        if odd:
+            parts = np.split(flat, np.cumsum(lengths)[:-1])
+            for i, ids in odd.items():
+                parts[i] = np.array(ids, dtype=np.int32)
+            flat, lengths = np.concatenate(parts), np.array([len(p) for p in parts])
+        return flat, lengths.astype(np.int64)
 
     def split(self, text: str) -> list[str]:
         """The words of a text as the library itself splits it."""
@@ -99,7 +112,7 @@ def unsure(text: Column) -> Column:
     return (F.octet_length(text) > F.char_length(text)) & text.rlike(r"\p{Cn}")
 
 
-def word_table(docs: DataFrame, tokenizer: str, text_col: str = "text", table_words: int = 400_000, table_chars: int = 64) -> DataFrame:
+def word_table(docs: DataFrame, tokenizer: str, text_col: str = "text", table_words: int = 300_000, table_chars: int = 64) -> DataFrame:
     """(word, ids): the most frequent distinct words, each encoded once."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     specials = byte_bpe(tokenizer).specials
@@ -110,7 +123,8 @@ def word_table(docs: DataFrame, tokenizer: str, text_col: str = "text", table_wo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = byte_bpe(tokenizer)
         for batch in batches:
-            ids = pa.array(bpe.words(batch.column(0).to_pylist()), pa.list_(pa.int32()))
+            flat, lengths = bpe.words(batch.column(0).to_pylist())
+            ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)), pa.array(flat))
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=["word", "ids"])
 
     spread = frequent.repartition(F.col("word"))
@@ -123,14 +137,17 @@ def _ragged(values: np.ndarray, first: np.ndarray, lengths: np.ndarray) -> tuple
     return values[np.repeat(first - (until - lengths), lengths) + np.arange(until[-1] if len(until) else 0)], until
 
 
-def encode(docs: DataFrame, tokenizer: str, text_col: str = "text", ids_col: str = "ids", table_words: int = 400_000, table_chars: int = 64) -> DataFrame:
-    """docs (without an older ``ids_col``) with ids_col: array<int>, as the tokenizers library encodes whole texts."""
+def encode(docs: DataFrame, tokenizer: str, text_col: str = "text", ids_col: str = "ids", keep: list[str] | None = None, packed: bool = False, table_words: int = 300_000, table_chars: int = 64) -> DataFrame:
+    """The columns ``keep`` (all) of docs, with ids_col: ids as the tokenizers library gives them for whole texts.
+
+    ids_col is array<int>, or with ``packed`` binary: little-endian unsigned 32-bit integers, as token files hold them.
+    """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
     specials = byte_bpe(tokenizer).specials
     table = word_table(docs, tokenizer, text_col, table_words, table_chars).toArrow()  # at most table_words rows
     known = spark.sparkContext.broadcast(_packed(table))
-    kept = [c for c in docs.columns if c.lower() != ids_col.lower()]
+    kept = [c for c in (docs.columns if keep is None else keep) if c.lower() != ids_col.lower()]
     rows = docs.select(
         F.struct(*kept).alias("row"),
         F.when(~unsure(text), split_words(text, specials)).alias("words"),
@@ -154,9 +171,13 @@ def encode(docs: DataFrame, tokenizer: str, text_col: str = "text", ids_col: str
                 ids, until = _ragged(values, first[place], lengths[place])
                 borders = words.offsets.to_numpy() - words.offsets[0].as_py()
                 offsets = np.concatenate(([0], until))[borders].astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids, pa.int32()))], names=["row", "ids"])
+                if packed:
+                    made = pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(offsets * 4), pa.py_buffer(ids.astype("<u4"))])
+                else:
+                    made = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids, pa.int32()))
+                yield pa.RecordBatch.from_arrays([part.column(0), made], names=["row", "ids"])
 
-    encoded = rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, ids array<int>")
+    encoded = rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, ids {'binary' if packed else 'array<int>'}")
     return encoded.select(*[F.col("row").getField(c).alias(c) for c in kept], F.col("ids").alias(ids_col))
 
 
@@ -188,10 +209,9 @@ class _Table:
         lengths = np.zeros(len(words), dtype=np.int64)
         if len(self.words):
             first[~rare], lengths[~rare] = self.first[at[~rare]], self.lengths[at[~rare]]
-        own = bpe.words(words.filter(pa.array(rare)).to_pylist())
-        sizes = np.array([len(x) for x in own], dtype=np.int64)
+        own, sizes = bpe.words(words.filter(pa.array(rare)).to_pylist())
         first[rare], lengths[rare] = len(self.flat) + np.cumsum(sizes) - sizes, sizes
-        return np.concatenate([self.flat, np.array([i for x in own for i in x], dtype=np.int32)]), first, lengths
+        return np.concatenate([self.flat, own]), first, lengths
 
 
 def _blocks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -202,27 +222,26 @@ def _blocks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 
 def decode(docs: DataFrame, tokenizer: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
-    """docs with ``out``: the text of ids_col (array<int>, null: empty), special tokens included."""
+    """docs with ``out``: the text of ids_col (array<int>, or packed binary; null: empty), special tokens included."""
     kept = [c for c in docs.columns if c.lower() != out.lower()]
-    rows = docs.select(F.struct(*kept).alias("row"), F.coalesce(F.col(ids_col), F.array().cast("array<int>")).alias("ids"))
+    rows = docs.select(F.struct(*kept).alias("row"))
+    at = kept.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = byte_bpe(tokenizer).pieces
         for batch in batches:
             for part in _blocks(batch):
-                ids = part.column(1)
-                joined = pieces.take(ids.flatten())  # the join by id; its bytes lie in the order of the ids
+                column = part.column(0).flatten()[at]
+                if pa.types.is_binary(column.type):
+                    lists = [np.frombuffer(v.as_py() or b"", dtype="<u4") for v in column]
+                else:
+                    lists = [np.array(v.as_py() or [], dtype=np.int64) for v in column]
+                borders = np.cumsum([0] + [len(x) for x in lists])
+                joined = pieces.take(pa.array(np.concatenate(lists).astype(np.int64)))  # the join by id; its bytes lie in the order of the ids
                 ends = np.frombuffer(joined.buffers()[1], dtype=np.int64, count=len(joined) + 1) if len(joined) else np.zeros(1, np.int64)
-                data = joined.buffers()[2].to_pybytes() if len(joined) else b""
-                borders = ends[ids.offsets.to_numpy() - ids.offsets[0].as_py()]
-                texts = [data[a:b].decode("utf-8", "replace") for a, b in zip(borders[:-1], borders[1:], strict=True)]
+                data = memoryview(joined.buffers()[2]) if len(joined) else b""
+                texts = [str(data[a:b], "utf-8", "replace") for a, b in zip(ends[borders[:-1]], ends[borders[1:]], strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], names=["row", "text"])
 
     decoded = rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, text string")
     return decoded.select(*[F.col("row").getField(c).alias(c) for c in kept], F.col("text").alias(out))
-
-
-@F.pandas_udf(T.StringType())
-def ids_sha256(ids):  # noqa: ANN001, ANN201
-    """Lowercase hex SHA-256 of ids as little-endian unsigned 32-bit integers."""
-    return ids.map(lambda x: hashlib.sha256(np.asarray(x, dtype="<u4").tobytes()).hexdigest())

@@ -17,12 +17,12 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenizer = public_tokenizers.path("byte_bpe_50k.json")
-    encoded = bpe.encode(_documents(spark, sf_dir), tokenizer).select("doc_id", "ids")
+    encoded = bpe.encode(_documents(spark, sf_dir), tokenizer, keep=["doc_id"], packed=True)
     decoded = bpe.decode(encoded, tokenizer)
     return decoded.select(
         "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        bpe.ids_sha256("ids").alias("ids_sha256"),
+        F.floor(F.octet_length("ids") / 4).alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
 

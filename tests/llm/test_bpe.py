@@ -1,7 +1,5 @@
 """op1 against the tokenizers library."""
 
-import hashlib
-
 import numpy as np
 import public_tokenizers
 import pytest
@@ -36,12 +34,17 @@ def test_equals_library(spark, table_words):
     assert sorted(r.words for r in got) == ["again"] + ["x"] * len(TEXTS)
 
 
-def test_digests_and_invalid_bytes(spark):
-    ids = spark.createDataFrame([(1, [0, 50256, 70000 % 50257]), (2, []), (3, [int(Tokenizer.from_file(PATH).encode("é").ids[0]), 447])], "k long, ids array<int>")
-    rows = {r.k: r for r in bpe.decode(ids, PATH).withColumn("h", bpe.ids_sha256("ids")).collect()}
-    assert rows[1].h == hashlib.sha256(np.array(rows[1].ids, "<u4").tobytes()).hexdigest()
-    assert rows[2].decoded == "" and rows[2].h == hashlib.sha256(b"").hexdigest()
-    assert rows[3].decoded == Tokenizer.from_file(PATH).decode(rows[3].ids, skip_special_tokens=False)
+def test_packed_and_invalid_bytes(spark):
+    whole = Tokenizer.from_file(PATH)
+    lists = [[0, 50256, 19743], [], [whole.encode("é").ids[0], 447], None]
+    ids = spark.createDataFrame(list(enumerate(lists)), "k long, ids array<int>")
+    for row in bpe.decode(ids, PATH).collect():
+        assert row.decoded == whole.decode(row.ids or [], skip_special_tokens=False)
+    docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
+    packed = {r.doc_id: r for r in bpe.decode(bpe.encode(docs, PATH, keep=["doc_id"], packed=True), PATH).collect()}
+    for i, text in enumerate(TEXTS):
+        assert bytes(packed[i].ids) == np.array(whole.encode(text or "").ids, "<u4").tobytes()
+        assert packed[i].decoded == (text or "")
 
 
 def test_empty_table(spark):
