@@ -1,0 +1,268 @@
+"""Picture kernels: numpy in Arrow batches for what looks at neighbouring pixels, columns for the rest.
+
+A picture is a row with height, width and data (BGR bytes), as Spark's image source gives it.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+QUALITY = "sharpness double, mean_luminance double, near_black double, saturated double, exposure double"
+TEXTURE = "variance double, sobel double, edge_density double, entropy double"
+
+
+def as_array(data: bytes, height: int, width: int) -> np.ndarray:
+    return np.frombuffer(data, np.uint8).reshape(height, width, 3)
+
+
+def gray(bgr: np.ndarray) -> np.ndarray:
+    return np.rint(bgr @ np.array([0.114, 0.587, 0.299]))
+
+
+def hsv(bgr: np.ndarray) -> np.ndarray:
+    """8-bit hue (0..179), saturation, value."""
+    x = bgr.astype(np.float64)
+    b, g, r = x[..., 0], x[..., 1], x[..., 2]
+    v, low = x.max(-1), x.min(-1)
+    span = v - low
+    safe = np.where(span == 0, 1, span)
+    hue = np.where(v == r, (g - b) / safe, np.where(v == g, 2 + (b - r) / safe, 4 + (r - g) / safe))
+    hue = np.where(span == 0, 0, hue * 60 % 360) / 2
+    return np.stack([np.rint(hue) % 180, np.rint(np.where(v == 0, 0, span / np.where(v == 0, 1, v) * 255)), v], -1)
+
+
+def lab(bgr: np.ndarray) -> np.ndarray:
+    """8-bit CIE Lab (D65)."""
+    rgb = bgr[..., ::-1].astype(np.float64) / 255
+    linear = np.where(rgb > 0.04045, ((rgb + 0.055) / 1.055) ** 2.4, rgb / 12.92)
+    xyz = linear @ np.array([[0.412453, 0.357580, 0.180423], [0.212671, 0.715160, 0.072169], [0.019334, 0.119193, 0.950227]]).T / np.array([0.950456, 1, 1.088754])
+    f = np.where(xyz > 0.008856, np.cbrt(xyz), 7.787 * xyz + 16 / 116)
+    y = xyz[..., 1]
+    return np.stack([np.where(y > 0.008856, 116 * np.cbrt(y) - 16, 903.3 * y) * 2.55, 500 * (f[..., 0] - f[..., 1]) + 128, 200 * (f[..., 1] - f[..., 2]) + 128], -1)
+
+
+def windows(image: np.ndarray, size: int, mode: str = "reflect") -> np.ndarray:
+    r = size // 2
+    return np.lib.stride_tricks.sliding_window_view(np.pad(image, r, mode=mode), (size, size))
+
+
+def convolved(image: np.ndarray, kernel: np.ndarray) -> np.ndarray:
+    return (windows(image, len(kernel)) * kernel).sum((-1, -2))
+
+
+SOBEL = np.array([[-1, 0, 1], [-2, 0, 2], [-1, 0, 1]], float)
+LAPLACE = np.array([[0, 1, 0], [1, -4, 1], [0, 1, 0]], float)
+
+
+def gradients(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return convolved(image, SOBEL), convolved(image, SOBEL.T)
+
+
+def sharpness(image: np.ndarray) -> float:
+    """log1p of the Laplacian's variance over log1p(800), cut to 0..1."""
+    return float(np.clip(np.log1p(convolved(image, LAPLACE).var()) / np.log1p(800), 0, 1))
+
+
+def exposure(image: np.ndarray) -> tuple[float, float, float, float]:
+    """Mean, shares below 15 and above 245, and a score for both."""
+    mean, black, white = float(image.mean()), float((image < 15).mean()), float((image > 245).mean())
+    score = (1 - min(abs(mean - 128) / 128, 1)) * (1 - 0.7 * min(1, black + white))
+    return mean, black, white, float(np.clip(score, 0, 1))
+
+
+def eroded(mask: np.ndarray, size: int = 5) -> np.ndarray:
+    return windows(np.asarray(mask, bool), size, "edge").all((-1, -2))
+
+
+def dilated(mask: np.ndarray, size: int = 5) -> np.ndarray:
+    return windows(np.asarray(mask, bool), size, "edge").any((-1, -2))
+
+
+def cleaned(mask: np.ndarray, size: int = 5, times: int = 2) -> np.ndarray:
+    """Opened, then closed."""
+    for _ in range(times):
+        mask = eroded(mask, size)
+    for _ in range(2 * times):
+        mask = dilated(mask, size)
+    for _ in range(times):
+        mask = eroded(mask, size)
+    return mask
+
+
+def labelled(mask: np.ndarray) -> tuple[np.ndarray, int]:
+    """4-connected components: 0 outside, 1..n by first appearance."""
+    out, n = np.zeros(mask.shape, int), 0
+    for y, x in zip(*np.nonzero(mask), strict=True):
+        if out[y, x]:
+            continue
+        n += 1
+        stack = [(y, x)]
+        out[y, x] = n
+        while stack:
+            a, b = stack.pop()
+            for c, d in ((a - 1, b), (a + 1, b), (a, b - 1), (a, b + 1)):
+                if 0 <= c < mask.shape[0] and 0 <= d < mask.shape[1] and mask[c, d] and not out[c, d]:
+                    out[c, d] = n
+                    stack.append((c, d))
+    return out, n
+
+
+def without_specks(mask: np.ndarray, least_area: int, most_hole: int) -> np.ndarray:
+    """Small components dropped, small holes inside filled."""
+    marks, n = labelled(mask)
+    area = np.bincount(marks.ravel(), minlength=n + 1)
+    kept = mask & (area[marks] >= least_area)
+    holes, n = labelled(~kept)
+    area = np.bincount(holes.ravel(), minlength=n + 1)
+    edge = np.unique(np.concatenate([holes[0], holes[-1], holes[:, 0], holes[:, -1]]))
+    inner = (holes > 0) & ~np.isin(holes, edge) & (area[holes] <= most_hole)
+    return kept | inner
+
+
+def texture(image: np.ndarray, mask: np.ndarray | None = None) -> tuple[float, float, float, float]:
+    """Variance/255², mean gradient/255, share of strong edges, entropy of a 32-bin density histogram over 5."""
+    mask = np.ones(image.shape, bool) if mask is None else mask
+    if not mask.any():
+        return 0.0, 0.0, 0.0, 0.0
+    gx, gy = gradients(image)
+    size = np.hypot(gx, gy)
+    density, _ = np.histogram(image[mask], 32, (0, 256), density=True)
+    density = density[density > 0]
+    return float(image[mask].var() / 255**2), float(size[mask].mean() / 255), float((size[mask] > 150).mean()), float(np.clip(-(density * np.log2(density)).sum() / 5, 0, 1))
+
+
+def structure_tensor(image: np.ndarray, mask: np.ndarray | None = None) -> tuple[float | None, float]:
+    """Angle of the lines in degrees (0..180; None without gradient) and coherence (0..1)."""
+    gx, gy = gradients(image)
+    if mask is not None:
+        gx, gy = gx[mask], gy[mask]
+    xx, yy, xy = (gx * gx).sum(), (gy * gy).sum(), (gx * gy).sum()
+    if xx + yy < 1e-9:
+        return None, 0.0
+    angle = (np.degrees(0.5 * np.arctan2(2 * xy, xx - yy)) + 90) % 180
+    return float(angle), float(np.hypot(xx - yy, 2 * xy) / (xx + yy))
+
+
+def fragmentation(occupancy: np.ndarray, size: int = 15) -> np.ndarray:
+    """Deficit times clip(20 variance) in boxes of size."""
+    w = windows(occupancy, size)
+    return (1 - w.mean((-1, -2))) * np.clip(20 * w.var((-1, -2)), 0, 1)
+
+
+def thinned(mask: np.ndarray) -> np.ndarray:
+    """Zhang-Suen skeleton."""
+    out = np.pad(mask.astype(bool), 1)
+    while True:
+        changed = False
+        for half in (0, 1):
+            p = [np.roll(out, s, (0, 1)) for s in ((1, 0), (1, -1), (0, -1), (-1, -1), (-1, 0), (-1, 1), (0, 1), (1, 1))]
+            count = sum(x.astype(int) for x in p)
+            turns = sum((~p[i] & p[(i + 1) % 8]).astype(int) for i in range(8))
+            a, b = ((0, 2, 4), (2, 4, 6)) if not half else ((0, 2, 6), (0, 4, 6))
+            drop = out & (count >= 2) & (count <= 6) & (turns == 1) & ~(p[a[0]] & p[a[1]] & p[a[2]]) & ~(p[b[0]] & p[b[1]] & p[b[2]])
+            drop[[0, -1]] = drop[:, [0, -1]] = False
+            out, changed = out & ~drop, changed or drop.any()
+        if not changed:
+            return out[1:-1, 1:-1]
+
+
+def hough_lines(mask: np.ndarray, least: int = 60, most: int = 50, step: float = 1.0) -> list[tuple[float, float, int]]:
+    """(angle of the line in degrees, signed distance, votes) of straight lines, strongest first; neighbours in angle and distance are one."""
+    y, x = np.nonzero(mask)
+    normals = np.arange(0, 180, step)
+    votes: dict[tuple[int, int], int] = {}
+    for i, a in enumerate(np.radians(normals)):
+        rho, n = np.unique(np.rint(x * np.cos(a) + y * np.sin(a)).astype(int), return_counts=True)
+        votes.update({(i, int(r)): int(c) for r, c in zip(rho, n, strict=True) if c >= least})
+    lines: list[tuple[float, float, int]] = []
+    for (i, r), n in sorted(votes.items(), key=lambda v: (-v[1], v[0])):
+        angle = float((normals[i] + 90) % 180)
+        if all(min(abs(angle - a), 180 - abs(angle - a)) > 5 or abs(r - d) > 8 for a, d, _ in lines):
+            lines.append((angle, float(r), n))
+        if len(lines) == most:
+            break
+    return lines
+
+
+def per_picture(df: DataFrame, schema: str, kernel) -> DataFrame:  # noqa: ANN001
+    """path and the kernel's columns for each picture; data goes to Python in Arrow batches and does not come back."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["path", *[c.split()[0] for c in schema.split(", ")]]
+        for pdf in batches:
+            yield pd.DataFrame([(r.path, *kernel(as_array(r.data, r.height, r.width))) for r in pdf.itertuples()], columns=names)
+
+    return df.select("path", "height", "width", "data").mapInPandas(run, f"path string, {schema}")
+
+
+def quality(df: DataFrame) -> DataFrame:
+    return per_picture(df, QUALITY, lambda p: (sharpness(gray(p)), *exposure(gray(p))))
+
+
+def textures(df: DataFrame) -> DataFrame:
+    return per_picture(df, TEXTURE, lambda p: texture(gray(p)))
+
+
+def orientations(df: DataFrame) -> DataFrame:
+    return per_picture(df, "angle double, coherence double", lambda p: structure_tensor(gray(p)))
+
+
+def pixel_rows(df: DataFrame) -> DataFrame:
+    """path, y, x, b, g, r: one row per pixel."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for r in pdf.itertuples():
+                y, x = np.divmod(np.arange(r.height * r.width, dtype=np.int32), r.width)
+                p = as_array(r.data, r.height, r.width).reshape(-1, 3).astype(np.int32)
+                yield pd.DataFrame({"path": r.path, "y": y.astype(np.int32), "x": x.astype(np.int32), "b": p[:, 0], "g": p[:, 1], "r": p[:, 2]})
+
+    return df.select("path", "height", "width", "data").mapInPandas(run, "path string, y int, x int, b int, g int, r int")
+
+
+def colour_class(b: Column, g: Column, r: Column) -> Column:
+    """CROP, BARE_SOIL, WATER, ROAD or UNKNOWN by rules over channels 0..255."""
+    exg, bright = (2 * g - r - b) / 255.0, (b + g + r) / 3.0
+    return (
+        F.when(exg > 0.05, "CROP")
+        .when((b > g) & (b > r) & (bright < 140), "WATER")
+        .when((F.greatest(b, g, r) - F.least(b, g, r) < 18) & (bright > 110), "ROAD")
+        .when((r >= g) & (g >= b) & (bright > 30), "BARE_SOIL")
+        .otherwise("UNKNOWN")
+    )
+
+
+def colour_stats(pixels: DataFrame, keys: list[str]) -> DataFrame:
+    """Means and population deviations of channels and ExG, and the vegetation share; 0 where there is none."""
+    p = pixels.withColumn("exg", (2 * F.col("g") - F.col("r") - F.col("b")) / 255.0)
+    each = [f(c).alias(f"{c}_{n}") for c in ("b", "g", "r", "exg") for n, f in (("mean", F.avg), ("std", F.stddev_pop))]
+    return p.groupBy(*keys).agg(*each, F.avg((F.col("exg") > 0.05).cast("double")).alias("veg_fraction")).na.fill(0.0)
+
+
+def class_shares(pixels: DataFrame, keys: list[str], label: str, classes: list[str]) -> DataFrame:
+    """The share of each class, those without pixels included."""
+    return pixels.groupBy(*keys).agg(*[F.avg((F.col(label) == c).cast("double")).alias(c.lower()) for c in classes])
+
+
+def strongest_label(masks: DataFrame, keys: list[str], label: str, priority: dict[str, int], order: str) -> DataFrame:
+    """Of overlapping masks (rows per pixel and label) the one of highest priority; the later one wins ties."""
+    rank = F.create_map(*[F.lit(x) for item in priority.items() for x in item])[F.col(label)]
+    return masks.groupBy(*keys).agg(F.max_by(label, F.struct(F.coalesce(rank, F.lit(-1)), F.col(order))).alias(label))
+
+
+def nearest_line(pixels: DataFrame, lines: DataFrame, keys: list[str], reach: float = 15.0) -> DataFrame:
+    """Pixels with the offset of the nearest line within reach, or null. lines: keys..., angle, offset; a few per key."""
+    packed = lines.groupBy(*keys).agg(F.collect_list(F.struct("angle", "offset")).alias("_lines"))
+    joined = pixels.join(packed, keys, "left")
+
+    def away(line: Column) -> Column:
+        normal = F.radians(line["angle"] - 90.0)
+        return F.abs(F.col("x") * F.cos(normal) + F.col("y") * F.sin(normal) - line["offset"])
+
+    best = F.array_min(F.transform("_lines", lambda s: F.struct(away(s).alias("d"), s["offset"].alias("offset"))))
+    return joined.withColumn("_best", best).withColumn("line_offset", F.when(F.col("_best")["d"] <= reach, F.col("_best")["offset"])).drop("_best", "_lines")
