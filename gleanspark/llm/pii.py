@@ -35,7 +35,7 @@ PATTERNS = {
 }
 #: Cheap tests that spare most texts the pattern.
 HINTS = {
-    "email": r"@[A-Za-z0-9]",
+    "email": r"@[A-Za-z0-9-]",
     "ip": r"[0-9]\.[0-9]",
     "card": r"[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9]",
     "phone": r"\+[0-9]",
