@@ -38,6 +38,20 @@ ISSUES = {
 }
 #: Ordered, case-insensitive replacements in reasons.
 COPY_EDITS = (
+    (r"DINO visual features differ from field baseline \(distance [\d.]+\)", "Looks different from nearby crop in the image"),
+    (r"embedding distance [\d.]+", "looks different from nearby crop"),
+    (r"RGB color profile diverges from the field median \(Lab distance [\d.]+[^)]*\)", "Color differs from surrounding crop"),
+    (r"Greenness proxy \(ExG\) is off the field baseline by [\d.]+[^—]*", "Greenness differs from the surrounding field"),
+    (r"Surface texture / edge pattern differs from neighboring crop \([\d.]+[^)]*\)", "Texture differs from nearby areas"),
+    (r"Multivariate fingerprint is an outlier[^.]*\.", "Several image cues differ together in this area."),
+    (r"Canopy looks thinner than the field norm \(([^)]+)\)", "Crop coverage is lower here ($1)"),
+    (r"Visible vegetation occupancy is (\d+%) below nearby rows", "Crop coverage is about $1 lower than nearby rows"),
+    ("Crop-row continuity breaks in this region", "Crop structure appears interrupted in this area"),
+    ("Rows/vegetation continue into and out of this region", "Crop structure continues before and after this area"),
+    ("Additional exposed soil is visible", "More soil is visible here"),
+    (r"Pattern persists across (\d+) of (\d+) usable observations \(persistence [\d.]+%\)", "Seen in $1 of $2 usable observations"),
+    (r"Not a one-frame glitch — pattern held for ~[\d.]+% of sampled timestamps[^.]*\.", "The pattern persists across multiple frames."),
+    ("No strong row discontinuity detected — primarily appearance-based", "Difference is mainly visual, not a clear crop gap"),
     ("visual anomaly", "visual difference"),
     ("anomaly", "difference"),
     ("structural", "crop structure"),

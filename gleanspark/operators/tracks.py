@@ -122,22 +122,3 @@ def circular_median(df: DataFrame, keys: list[str], angle: str, order: str) -> D
     scored = F.transform("_all", lambda x: F.struct(away(x).alias("d"), x["first"].alias("first"), x["a"].alias("a")))
     return listed.select(*keys, F.array_min(scored)["a"].alias("median_angle"))
 
-
-def gap_score(profile: list[float]) -> tuple[float, int, int]:
-    """The deepest gap of a 1-D occupancy profile: score, start, end. Both shoulders must stand above it."""
-    n, best = len(profile), (0.0, 0, 0)
-    level = sorted(profile)[int(0.75 * (n - 1))] if n else 0.0
-    if n < 5 or level <= 1e-6:
-        return best
-    sums = [0.0]
-    for x in profile:
-        sums.append(sums[-1] + x)
-    for start in range(1, n - 1):
-        for end in range(start + 1, n):
-            inside = (sums[end] - sums[start]) / (end - start)
-            shoulders = min(sums[start] / start, (sums[n] - sums[end]) / (n - end))
-            depth = max(0.0, (min(shoulders, level) - inside) / level)
-            score = depth * min(1.0, 4 * (end - start) / n)
-            if score > best[0] + 1e-12:
-                best = (score, start, end)
-    return best

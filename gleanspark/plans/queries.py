@@ -703,3 +703,59 @@ def box_geometry(spark, sf_dir):
     p = geometry.padded_box(i % 37 / 40.0, i % 29 / 40.0, i % 7 / 30.0, i % 5 / 25.0)
     fit = geometry.letterbox(i % 900 + 100, F.lit(600), F.lit(800), F.lit(600))
     return table(spark, sf_dir, "events").select("event_id", *[r6(c).alias(k) for k, c in p.items()], r6(fit["x"]).alias("lx"), r6(fit["h"]).alias("lh"))
+
+
+# ---------------------------------------------------------------- fields
+
+
+@query(f"""WITH {EV}, s AS (SELECT event_id, a AS base, b AS occ, c AS veg, d AS bare, e AS crop, f AS cont, (event_id % 67) / 67.0 AS gap, (event_id % 61) / 61.0 AS frag, 0.0 AS soil FROM v),
+t AS (SELECT *, greatest(greatest(0, base - occ), greatest(0, base - veg)) / greatest(base, 0.15) AS deficit FROM s),
+u AS (SELECT *, least(deficit / 0.15, 1.0) AS sure FROM t),
+w AS (SELECT event_id, deficit, 0.30 * least(deficit, 1.0) + 0.25 * cont * sure + 0.20 * greatest(gap, cont) * sure + 0.15 * least(frag * 3, 1.0) AS raw,
+ greatest(CASE WHEN veg < base * 0.55 AND base >= 0.35 THEN 0.4 + 0.5 * (1 - veg / greatest(base, 0.15)) ELSE 0 END, CASE WHEN bare >= 0.2 AND base >= 0.45 AND crop < 0.5 THEN 0.35 + 0.45 * bare ELSE 0 END, CASE WHEN veg < 0.25 AND base >= 0.5 THEN 0.45 ELSE 0 END) AS floor FROM u)
+SELECT event_id, round(deficit, 6) AS deficit, round(least(greatest(raw, floor), 1.0), 6) AS score FROM w""")
+def structural_scores(spark, sf_dir):
+    from gleanspark.operators import field
+
+    i = F.col("event_id")
+    s = field.structural_score(*map(F.col, "abcdef"), i % 67 / 67.0, i % 61 / 61.0, F.lit(0.0))
+    return shares(spark, sf_dir).select("event_id", r6(s["occupancy_deficit"]).alias("deficit"), r6(s["score"]).alias("score"))
+
+
+@query(f"""WITH {CELLS}, k AS (SELECT frame, row, col, color AS occ, n > 150 AS valid, row % 3 AS unit, CASE WHEN row % 3 = 0 THEN 'bare_soil' ELSE 'active_crop' END AS ut, texture * 10 AS conf FROM cells),
+um AS (SELECT frame, unit, median(occ) AS m FROM k WHERE valid AND ut = 'active_crop' AND conf >= 0.3 GROUP BY 1, 2 HAVING count(*) >= 3), fm AS (SELECT frame, median(occ) FILTER (valid) AS m FROM k GROUP BY 1)
+SELECT k.frame, k.row, k.col, round(coalesce(CASE WHEN valid AND ut = 'active_crop' AND conf >= 0.3 THEN um.m END, fm.m, 0.5), 6) AS baseline FROM k LEFT JOIN um ON k.frame = um.frame AND k.unit = um.unit LEFT JOIN fm ON k.frame = fm.frame""")
+def local_unit_baseline(spark, sf_dir):
+    from gleanspark.operators import field
+
+    k = cells(spark, sf_dir).withColumns({"occupancy": F.col("color"), "valid": F.col("n") > 150, "unit": F.col("row") % 3, "unit_type": F.when(F.col("row") % 3 == 0, "bare_soil").otherwise("active_crop"), "unit_confidence": F.col("texture") * 10})
+    return field.unit_baselines(k, ["frame"]).select("frame", "row", "col", r6("baseline").alias("baseline"))
+
+
+@query(f"""WITH {EV}, g AS (SELECT e.user_id, v.a / 2 AS crop, v.b / 8 AS bare, v.c AS fld, v.d / 60 AS road, v.e / 70 AS tree, v.f / 150 AS water, 0.001 AS infra, CASE WHEN v.a > 0.6 THEN 3 WHEN v.a > 0.2 THEN 2 ELSE 1 END AS rv FROM v JOIN events e USING (event_id))
+SELECT user_id, round(avg(crop), 6) AS mean_crop, round(avg(bare), 6) AS mean_bare, round(avg(fld), 6) AS mean_field, bool_or(road > 0.01) AS road, bool_or(tree > 0.01) AS tree, bool_or(water > 0.005) AS water, bool_or(infra > 0.005) AS infrastructure,
+round(avg(road) + avg(tree) + avg(water) + avg(infra), 6) AS non_crop, CASE WHEN avg(rv) >= 2.5 THEN 'HIGH' WHEN avg(rv) >= 1.5 THEN 'MEDIUM' ELSE 'LOW' END AS row_visibility, avg(fld) >= 0.08 AND avg(crop) + avg(bare) >= 0.05 AS detected FROM g GROUP BY 1""")
+def field_summary(spark, sf_dir):
+    from gleanspark.operators import field
+
+    v = shares(spark, sf_dir).join(table(spark, sf_dir, "events").select("event_id", "user_id"), "event_id")
+    a, b, c, d, e, f = map(F.col, "abcdef")
+    vis = F.when(a > 0.6, "HIGH").when(a > 0.2, "MEDIUM").otherwise("LOW")
+    frames = v.select("user_id", (a / 2).alias("crop"), (b / 8).alias("bare_soil"), c.alias("in_field"), (d / 60).alias("road_path"), (e / 70).alias("tree_vegetation"), (f / 150).alias("water"), F.lit(0.001).alias("infrastructure"), vis.alias("row_visibility"))
+    got = field.summarise(frames, "user_id")
+    return got.select(*[r6(x).alias(x) if x.startswith(("mean", "non")) else x for x in got.columns])
+
+
+@query("""SELECT user_id, CASE WHEN count(*) FILTER (value > 200) > 0 THEN 'high' WHEN count(*) FILTER (value > 100) > 0 THEN 'medium' ELSE 'low' END AS highest FROM events GROUP BY 1""")
+def highest_priority(spark, sf_dir):
+    from gleanspark.operators import field
+
+    level = F.when(F.col("value") > 200, "high").when(F.col("value") > 100, "medium").otherwise("low")
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(field.highest_priority(level).alias("highest"))
+
+
+@query("""SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r, count(*) OVER (PARTITION BY user_id) AS n FROM events) WHERE r = n // 2 + 1""")
+def middle_frame(spark, sf_dir):
+    from gleanspark.operators import field
+
+    return field.middle_row(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"]).select("user_id", "event_id")

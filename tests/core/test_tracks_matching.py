@@ -80,12 +80,6 @@ def test_circular_median(spark):
     assert tracks.circular_median(df, ["g"], "a", "i").first().median_angle == 0.0
 
 
-def test_gap_score():
-    score, start, end = tracks.gap_score([1.0] * 8 + [0.0] * 6 + [1.0] * 8)
-    assert score > 0.9 and (start, end) == (8, 14)
-    assert tracks.gap_score([1.0] * 20)[0] == 0 and tracks.gap_score([]) == (0.0, 0, 0)
-
-
 def boxes(spark, rows):
     return spark.createDataFrame([(1, *r) for r in rows], "run int, id string, ord int, x double, y double, w double, h double")
 
