@@ -329,20 +329,20 @@ def latest_run_upsert(spark, sf_dir):
     return catalog.latest(table(spark, sf_dir, "events"), ["user_id"], [F.desc("ts"), F.desc("event_id")]).select("user_id", "event_id", "event_type", "value")
 
 
-@query("""SELECT c_custkey, c_name, CASE WHEN c_custkey % 3 = 0 THEN 'changed' ELSE c_mktsegment END AS c_mktsegment, c_acctbal FROM customer
-UNION ALL SELECT -c_custkey, c_name, 'changed', c_acctbal FROM customer WHERE c_custkey % 300 = 1""")
+@query("""SELECT c_custkey, c_name, CASE WHEN c_acctbal < 0 THEN 'changed' ELSE c_mktsegment END AS c_mktsegment, c_acctbal FROM customer
+UNION ALL SELECT -c_custkey, c_name, 'changed', c_acctbal FROM customer WHERE c_mktsegment = 'BUILDING'""")
 def merge_upsert(spark, sf_dir):
     base = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_acctbal")
-    changed = base.where("c_custkey % 3 = 0").withColumn("c_acctbal", F.lit(0.0)).withColumn("c_name", F.lit(""))
-    fresh = base.where("c_custkey % 300 = 1").withColumn("c_custkey", -F.col("c_custkey"))
+    changed = base.where("c_acctbal < 0").withColumn("c_acctbal", F.lit(0.0)).withColumn("c_name", F.lit(""))
+    fresh = base.where("c_mktsegment = 'BUILDING'").withColumn("c_custkey", -F.col("c_custkey"))
     return catalog.upsert(base, changed.unionByName(fresh).withColumn("c_mktsegment", F.lit("changed")), ["c_custkey"], only=["c_mktsegment"])
 
 
-@query("SELECT e.event_id, i AS frame, i * 0.5 AS ts_sec FROM events e, range(4) t(i) WHERE event_id % 10 = 0")
+@query("SELECT e.event_id, i AS frame, i * 0.5 AS ts_sec FROM events e, range(4) t(i)")
 def still_replication(spark, sf_dir):
     from gleanspark.sources.media import replicated
 
-    stills = table(spark, sf_dir, "events").where("event_id % 10 = 0").select("event_id")
+    stills = table(spark, sf_dir, "events").select("event_id")
     return replicated(stills, 4).select("event_id", F.col("frame").cast("long").alias("frame"), "ts_sec")
 
 
@@ -520,10 +520,10 @@ def orphan_blobs(spark, sf_dir):
     return catalog.orphans(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels"), "doc_id")
 
 
-@query("""SELECT DISTINCT sha256(text) AS sha256 FROM documents WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id < 200)""")
+@query("""SELECT DISTINCT sha256(text) AS sha256 FROM documents WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents JOIN labels USING (doc_id))""")
 def blob_put(spark, sf_dir):
     blobs = table(spark, sf_dir, "documents").select("doc_id", catalog.content_key(F.col("text")).alias("sha256"))
-    return catalog.put(blobs, blobs.where("doc_id < 200")).select("sha256")
+    return catalog.put(blobs, blobs.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")).select("sha256")
 
 
 @query("""SELECT o_orderkey AS key, c_custkey AS job_id FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING' AND c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)""")
