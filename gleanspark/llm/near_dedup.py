@@ -5,19 +5,23 @@ arrive at random, hashed ranks; a dart also hashes to one of the signature's coo
 coordinate is kept. A document of total weight W needs the darts up to rank k(ln k + 4)/W only, so throwing costs O(W + k log k), and two
 documents agree in a coordinate with the probability of their (weighted) Jaccard similarity. Bands of coordinates are buckets.
 
-Exact copies (equal word sequences) are one node from the start. No bucket is capped and none is expanded into all its pairs:
+Exact copies (equal word sequences) are one node from the start. No bucket is capped, and none is expanded into all its pairs:
 
-1. each bucket's members meet its hub, the smallest node; exact Jaccard on shingles decides; links are merged into components;
-2. buckets that still hold several components: up to ``small`` members, every pair across components is checked; larger ones meet another
-   hub, drawn anew per bucket;
-3. larger buckets still left are refined: their members are banded again, inside the bucket, with fresh signatures. Members that merely
-   share a passage part, near copies stay together. After ``levels`` refinements what is left is checked pair by pair across components.
+1. A node of whose n shingles u occur in no other node that shares a bucket cannot be more similar to any than (n-u)/n. Nodes for
+   which that is too little leave; documents that merely share a passage do.
+2. Nodes are numbered by u/n, so that the smallest number in a bucket, its hub, is the one most like all others. Each member meets its
+   bucket's hub, exact Jaccard on shingles decides, and links are merged into components.
+3. Buckets that still hold several components: up to ``small`` members, every pair across components is checked; in larger ones
+   the members outside the largest component are compared with all others in blocks of at most ``BLOCK`` by ``BLOCK`` documents, as one
+   matrix product each, which gives links between components, not pairs.
 
 With 32 bands of 5 a pair of similarity 0.8 misses all buckets with probability 3e-6.
 
 Defined cases: null, empty and wordless texts are no near copies of anything, each is its own class; fewer than five words are one
 shingle; equal texts share a class; class_id is the smallest id of the class (null if it has none); repeated rows share their class;
 an empty table gives an empty result; very long texts are used whole; other columns are ignored.
+
+The list of nodes that share buckets (24 bytes each) is broadcast if it counts at most ``broadcast_nodes``, else joined by shuffle.
 """
 
 from __future__ import annotations
@@ -26,6 +30,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,6 +38,7 @@ from pyspark.sql import functions as F
 from gleanspark.session import materialize
 
 BANDS, ROWS, SHINGLE, SIMILAR = 32, 5, 5, 0.8
+BLOCK = 256
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 CHUNK = 1_000_000
 
@@ -200,15 +206,19 @@ class _Search:
             return members.withColumn("comp", F.col("node"))
         return members.join(self.labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
 
-    def check(self, pairs: DataFrame) -> None:
-        """Decide pairs(a, b, ca, cb) by exact Jaccard and merge the components of those that are linked."""
+    def decided(self, pairs: DataFrame) -> DataFrame:
+        """Of pairs(a, b, ca, cb) the components (a, b) whose members are similar, by exact Jaccard."""
         pairs = pairs.where("a <> b").select("a", "b", "ca", "cb").distinct()
         # b, mostly met once, brings its shingles along; those of a, often a hub, are read where the pairs arrive.
         with_b = pairs.join(self.shingles.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
         with_both = with_b.join(self.shingles.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
         both = F.size(F.array_intersect("sa", "sb"))
         linked = with_both.where(both / (F.size("sa") + F.size("sb") - both) >= self.threshold)
-        merged = components(linked.select(F.col("ca").alias("a"), F.col("cb").alias("b")), "near-links")
+        return linked.select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+
+    def merge(self, links: DataFrame) -> None:
+        """Join the components that links(a, b) name."""
+        merged = components(links, "near-links")
         if self.labels is None:
             self.labels = merged
             return
@@ -219,15 +229,13 @@ class _Search:
 
     def open_buckets(self, members: DataFrame) -> DataFrame:
         """The memberships, with comp and the bucket's size, of buckets that hold several components."""
-        known = materialize(self.comps(members), "near-members")
+        known = self.comps(members)
         spread = known.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"))
         return materialize(known.join(spread.where("lo <> hi").select("bucket", "n"), "bucket"), "near-open")
 
-    def hub_pairs(self, members: DataFrame, draw: int | None) -> DataFrame:
-        """Each member with its bucket's hub, where their components differ. draw: a fresh order of nodes per bucket."""
-        order = F.col("node") if draw is None else F.unhex(F.md5(F.concat("node", F.col("bucket").cast("string").cast("binary"), F.lit(str(draw)).cast("binary"))))
-        hubs = members.groupBy("bucket").agg(F.min(F.struct(order.alias("o"), F.col("node").alias("a"), F.col("comp").alias("ca"))).alias("h"))
-        hubs = hubs.select("bucket", "h.a", "h.ca")
+    def hub_pairs(self, members: DataFrame) -> DataFrame:
+        """Each member with its bucket's hub, the smallest node, where their components differ."""
+        hubs = members.groupBy("bucket").agg(F.min("node").alias("a"), F.min_by("comp", "node").alias("ca"))
         joined = members.join(hubs, "bucket").where(F.col("ca") != F.col("comp"))
         return joined.select("a", F.col("node").alias("b"), "ca", F.col("comp").alias("cb"))
 
@@ -235,27 +243,56 @@ class _Search:
         """Every pair across components within a bucket."""
         other = members.select("bucket", F.col("node").alias("b"), F.col("comp").alias("cb"))
         pairs = members.select("bucket", F.col("node").alias("a"), F.col("comp").alias("ca")).join(other, "bucket")
-        return pairs.where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")))
-
-    def settle(self, members: DataFrame, level: int, levels: int) -> None:
+        return pairs.where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))).select("a", "b", "ca", "cb")
+
+    def block_links(self, members: DataFrame) -> DataFrame:
+        """Components (a, b) with similar members in members(bucket, node, comp): those outside a bucket's largest component against all."""
+        sizes = members.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
+        shape = sizes.groupBy("bucket").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
+        blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+        rows = members.join(shape.select("bucket", "main", blocks(F.col("all") - F.col("most")).alias("left"), blocks(F.col("all")).alias("right")), "bucket")
+        own = lambda n, salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        outside = rows.where("comp <> main").select("bucket", "node", "comp", own("left", 0).alias("i"), every("right").alias("j"), F.lit(True).alias("outer"))
+        inside = rows.select("bucket", "node", "comp", every("left").alias("i"), own("right", 1).alias("j"), F.lit(False).alias("outer"))
+        placed = outside.unionByName(inside).join(self.shingles, "node")
+        threshold = self.threshold
+
+        def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame(similar_components(pdf[pdf.outer], pdf[~pdf.outer], threshold), columns=["a", "b"])
+
+        return placed.groupBy("bucket", "i", "j").applyInPandas(compare, "a long, b long")
+
+    def settle(self, members: DataFrame) -> None:
         """members(bucket, node), of buckets with two nodes or more."""
-        self.check(self.hub_pairs(self.comps(members), None))
+        self.merge(self.decided(self.hub_pairs(self.comps(members))))
         left = self.open_buckets(members)
-        if left.isEmpty():
-            return
-        self.check(self.cross_pairs(left.where(F.col("n") <= self.small)).unionByName(self.hub_pairs(left.where(F.col("n") > self.small), 2 * level + 1).select("a", "b", "ca", "cb"), allowMissingColumns=True))
-        large = left.where(F.col("n") > self.small).select("bucket", "node")
-        if large.isEmpty():
-            return
-        left = self.open_buckets(large)
-        if left.isEmpty():
-            return
-        if level >= levels:
-            self.check(self.cross_pairs(left))
-            return
-        finer = banded(left.select("node").distinct().join(self.shingles, "node"), ["node"], level + 1).select("node", F.explode("buckets").alias("finer"))
-        inside = left.select("bucket", "node").join(finer, "node").select(F.xxhash64("bucket", "finer").alias("bucket"), "node")
-        self.settle(crowded(inside, f"near-level{level + 1}"), level + 1, levels)
+        if not left.isEmpty():
+            few, many = left.where(F.col("n") <= self.small), left.where(F.col("n") > self.small)
+            self.merge(self.decided(self.cross_pairs(few)).unionByName(self.block_links(many)))
+
+
+def similar_components(left: pd.DataFrame, right: pd.DataFrame, threshold: float, columns: int = 16_384) -> list[tuple[int, int]]:
+    """Distinct pairs of components that hold a similar pair of rows (comp, shingles), one from each side."""
+    n, m = len(left), len(right)
+    if not n or not m:
+        return []
+    lists = [*left.shingles, *right.shingles]
+    sizes = np.array([len(x) for x in lists])
+    _, place, met = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
+    shared = met[place] > 1  # a shingle met once is in no intersection
+    column = (np.cumsum(met > 1) - 1)[place[shared]]
+    row = np.repeat(np.arange(n + m), sizes)[shared]
+    both = np.zeros((n, m), dtype=np.float32)
+    for first in range(0, int((met > 1).sum()), columns):
+        part = (column >= first) & (column < first + columns)
+        held = np.zeros((n + m, columns), dtype=np.float32)
+        held[row[part], column[part] - first] = 1
+        both += held[:n] @ held[n:].T
+    close = both / (sizes[:n, None] + sizes[None, n:] - both) >= threshold
+    ca, cb = left.comp.to_numpy(), right.comp.to_numpy()
+    i, j = np.nonzero(close & (ca[:, None] != cb[None, :]))
+    return sorted({(min(a, b), max(a, b)) for a, b in zip(ca[i].tolist(), cb[j].tolist(), strict=True)})
 
 
 def crowded(members: DataFrame, label: str) -> DataFrame:
@@ -265,23 +302,45 @@ def crowded(members: DataFrame, label: str) -> DataFrame:
     return materialize(members.join(held, "bucket"), label)
 
 
-def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILAR, small: int = 32, levels: int = 3) -> DataFrame:
+def _gathered(worded: DataFrame, needed: DataFrame, broadcast_nodes: int) -> DataFrame:
+    """number, shingles of the needed nodes: their texts are gathered, once each, and only then cut into shingles."""
+    if needed.count() <= broadcast_nodes:
+        needed = F.broadcast(needed)
+    texts = worded.where(F.size("words") > 0).select(node_of(F.col("words")).alias("hash"), F.array_join("words", " ").alias("text"))
+    texts = texts.join(needed, "hash").groupBy("number").agg(F.first("text").alias("text"))
+    return materialize(texts.select("number", shingles_of(F.split("text", " ")).alias("shingles")), "near-shingles")
+
+
+def _ranked(shingles: DataFrame, threshold: float) -> DataFrame:
+    """number, node of those that may be similar enough to another: node orders them by the share of shingles that no other has."""
+    each = shingles.select("number", F.explode("shingles").alias("shingle"))
+    alone = each.groupBy("shingle").agg(F.count("*").alias("n"), F.min("number").alias("number")).where("n = 1")
+    alone = alone.groupBy("number").agg(F.count("*").alias("alone"))
+    share = F.coalesce(F.col("alone"), F.lit(0)) / F.size("shingles")
+    kept = shingles.join(alone, "number", "left").where(1 - share >= threshold)
+    return materialize(kept.select("number", F.shiftleft(F.floor(share * 255), 53).bitwiseOR(F.col("number")).alias("node"), "shingles"), "near-ranked")
+
+
+def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILAR, small: int = 32, broadcast_nodes: int = 1_000_000) -> DataFrame:
     """One row per row of docs: id, node (128 bits of the words; null without words), class_id, class_size, first (the row that stands for its class)."""
     worded = docs.select(F.col(id_col).alias("id"), words_of(F.col(text_col)).alias("words"))
-    rows = worded.select("id", F.when(F.size("words") > 0, node_of(F.col("words"))).alias("node"), F.when(F.size("words") > 0, shingles_of(F.col("words"))).alias("shingles"))
-    with_buckets = materialize(banded(rows, ["id", "node"], 0), "near-bands")
-    buckets = with_buckets.where("node IS NOT NULL").select("node", F.explode("buckets").alias("bucket"))
-    members = crowded(buckets, "near-buckets")
-    # The shingles of the nodes that share a bucket, once each.
-    needed = members.select("node").distinct()
-    shingles = rows.where("node IS NOT NULL").select("node", "shingles").join(needed, "node", "left_semi")
-    shingles = materialize(shingles.groupBy("node").agg(F.first("shingles").alias("shingles")), "near-shingles")
-    search = _Search(shingles, threshold, small)
-    search.settle(members, 0, levels)
-    slim = search.comps(with_buckets.select("id", "node"))
+    rows = worded.select("id", F.when(F.size("words") > 0, node_of(F.col("words"))).alias("hash"), F.when(F.size("words") > 0, shingles_of(F.col("words"))).alias("shingles"))
+    with_buckets = materialize(banded(rows, ["id", "hash"], 0), "near-bands")
+    met = crowded(with_buckets.where("hash IS NOT NULL").select("hash", F.explode("buckets").alias("bucket")), "near-buckets")
+    # Numbers are written down with the hashes, and hold from then on; 53 bits leave room for the rank.
+    needed = materialize(met.select("hash").distinct().withColumn("number", F.monotonically_increasing_id()), "near-nodes")
+    ranked = _ranked(_gathered(worded, needed, broadcast_nodes), threshold)
+    names = materialize(needed.join(ranked.select("number", "node"), "number").select("hash", "node"), "near-names")
+    search = _Search(ranked.select("node", "shingles"), threshold, small)
+    search.settle(crowded(met.join(names, "hash").select("bucket", "node"), "near-members"))
+    classes = search.comps(names).select("hash", "comp")
+    slim = with_buckets.select("id", "hash").join(classes, "hash", "left")
+    key = F.coalesce(F.hex("hash"), F.lit(""))
+    key = F.when(F.col("comp").isNotNull(), F.col("comp").cast("string")).otherwise(key).alias("class")
+    slim = slim.select("id", F.col("hash").alias("node"), key)
     first = F.min(F.struct(F.col("id").isNull(), F.col("id"), F.col("node")))
-    sizes = slim.where("node IS NOT NULL").groupBy("comp").agg(first.alias("first"), F.count("*").alias("class_size"))
-    found = slim.join(sizes, "comp", "left")
+    sizes = slim.where("node IS NOT NULL").groupBy("class").agg(first.alias("first"), F.count("*").alias("class_size"))
+    found = slim.join(sizes, "class", "left")
     return found.select(
         F.col("id").alias(id_col),
         "node",

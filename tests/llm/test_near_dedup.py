@@ -66,11 +66,11 @@ def test_signature_does_not_depend_on_neighbours():
     assert np.array_equal(both[1], nd.signatures(e, np.array([0, len(e)]), 64)[0])
 
 
-@pytest.mark.parametrize(("small", "levels"), [(32, 3), (2, 1)])
-def test_equals_brute_force(spark, small, levels):
+@pytest.mark.parametrize(("small", "broadcast_nodes"), [(32, 1000), (2, 0)])
+def test_equals_brute_force(spark, small, broadcast_nodes):
     texts = corpus(1, 25, 9, 5) + corpus(2, 1, 90, 3)
     docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, node string").repartition(4)
-    got = {r.doc_id: r.class_id for r in nd.near_classes(docs, small=small, levels=levels).collect()}
+    got = {r.doc_id: r.class_id for r in nd.near_classes(docs, small=small, broadcast_nodes=broadcast_nodes).collect()}
     assert [got[i] for i in range(len(texts))] == classes(texts)
 
 
