@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -141,9 +140,3 @@ def isolation_forest(df: DataFrame, keys: list[str], features: list[str], schema
 
     return df.groupBy(*keys).applyInPandas(score, schema)
 
-
-def histogram_entropy(values: Iterator[float], bins: int = 32) -> float:
-    """Entropy in bits of a density histogram over 0..255, over log2(bins), cut to 1."""
-    density, _ = np.histogram(np.fromiter(values, float), bins=bins, range=(0, 255), density=True)
-    density = density[density > 0]
-    return float(np.clip(-(density * np.log2(density)).sum() / math.log2(bins), 0, 1)) if len(density) else 0.0

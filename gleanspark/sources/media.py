@@ -143,4 +143,4 @@ def synthetic_field(spark: SparkSession, frames: int = 3, width: int = 64, heigh
     label = F.when(tree, "TREE").when(patch | (F.col("x") % 8 >= 5), "BARE_SOIL").otherwise("CROP")
     colour = lambda t, s, c: F.when(F.col("label") == "TREE", t).when(F.col("label") == "BARE_SOIL", s).otherwise(c)
     noise = lambda i: (F.pmod(F.xxhash64("frame", "y", "x", F.lit(seed + i)), F.lit(13)) - 6).cast("int")
-    return px.withColumn("label", label).select("frame", "y", "x", (colour(30, 90, 40) + noise(0)).alias("b"), (colour(80, 120, 160) + noise(1)).alias("g"), (colour(35, 170, 50) + noise(2)).alias("r"), "label")
+    return px.withColumn("label", label).select("frame", "y", "x", (colour(30, 130, 40) + noise(0)).alias("b"), (colour(80, 140, 160) + noise(1)).alias("g"), (colour(35, 160, 50) + noise(2)).alias("r"), "label")

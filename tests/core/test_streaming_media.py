@@ -94,6 +94,9 @@ def test_pixels(spark):
     assert np.isnan(o["flat"].angle or np.nan) and o["flat"].coherence == 0
     assert pixels.pixel_rows(df).count() == 3200
     assert pixels.textures(df).count() == 2
+    cells = pixels.descriptors(df).collect()
+    assert len(cells) == 128 and all(abs(sum(x * x for x in c.embedding) - 1) < 1e-3 and len(c.embedding) == 32 for c in cells)
+    assert guess.where("label = 'BARE_SOIL' AND pred = 'BARE_SOIL'").count() > 0.7 * px.where("label = 'BARE_SOIL'").count()
     stats = pixels.colour_stats(pixels.pixel_rows(df), ["path"]).collect()
     assert {r.veg_fraction for r in stats} == {0.0}
 
