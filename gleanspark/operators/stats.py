@@ -14,16 +14,25 @@ from gleanspark.functions.geometry import clip
 MAD_SCALE = 1.4826
 
 
-def robust_z(df: DataFrame, value: str, keys: list[str], floor: float = 0.01, valid: Column | None = None, out: str = "z") -> DataFrame:
-    """|x - median| / (1.4826 max(MAD, floor)) within keys; 0 for invalid rows. Two small aggregates joined back."""
+def robust_zs(df: DataFrame, values: dict[str, float], keys: list[str], valid: Column | None = None, prefix: str = "z_") -> DataFrame:
+    """df with z_<value>: |x - median| / (1.4826 max(MAD, floor)) within keys for each value and its floor; 0 for invalid rows.
+
+    All values share two small aggregates, joined back.
+    """
     ok = F.coalesce(valid, F.lit(False)) if valid is not None else F.lit(True)
-    x = F.when(ok, F.col(value))
-    medians = df.groupBy(*keys).agg(F.median(x).alias("_med"))
-    centred = df.join(medians, keys, "left")
-    mads = centred.groupBy(*keys).agg(F.median(F.abs(x - F.col("_med"))).alias("_mad"))
-    scale = MAD_SCALE * F.greatest(F.col("_mad"), F.lit(floor))
-    z = F.when(ok & F.col("_med").isNotNull(), F.abs(F.col(value) - F.col("_med")) / scale).otherwise(0.0)
-    return centred.join(mads, keys, "left").withColumn(out, z).drop("_med", "_mad")
+    x = {c: F.when(ok, F.col(c)) for c in values}
+    centred = df.join(df.groupBy(*keys).agg(*[F.median(x[c]).alias(f"_med_{c}") for c in values]), keys, "left")
+    mads = centred.groupBy(*keys).agg(*[F.median(F.abs(x[c] - F.col(f"_med_{c}"))).alias(f"_mad_{c}") for c in values])
+    scores = {}
+    for c, floor in values.items():
+        scale = MAD_SCALE * F.greatest(F.col(f"_mad_{c}"), F.lit(floor))
+        scores[f"{prefix}{c}"] = F.when(ok & F.col(f"_med_{c}").isNotNull(), F.abs(F.col(c) - F.col(f"_med_{c}")) / scale).otherwise(0.0)
+    return centred.join(mads, keys, "left").withColumns(scores).drop(*[f"_med_{c}" for c in values], *[f"_mad_{c}" for c in values])
+
+
+def robust_z(df: DataFrame, value: str, keys: list[str], floor: float = 0.01, valid: Column | None = None, out: str = "z") -> DataFrame:
+    """df with the robust z of one value."""
+    return robust_zs(df, {value: floor}, keys, valid, "_robust_").withColumnRenamed(f"_robust_{value}", out)
 
 
 def neighbours(df: DataFrame, keys: list[str], radius: int = 2, columns: tuple[str, ...] = ("value",), prefix: str = "n_") -> DataFrame:

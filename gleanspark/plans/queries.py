@@ -132,9 +132,9 @@ fused AS (SELECT frame, row, col, least(greatest((0.25 * ub.u + 0.20 * uc.u + 0.
 
 
 def _fused(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = _blended(spark, sf_dir)
-    for c in ("color", "texture"):
-        df = stats.robust_z(df, c, ["frame"], out=f"z_{c}").withColumn(f"u_{c}", stats.unit_score(F.col(f"z_{c}"), ["frame"]))
+    z = stats.robust_zs(cells(spark, sf_dir), {"value": 0.01, "color": 0.01, "texture": 0.01}, ["frame"])
+    df = stats.local_robust_z(z, ["frame"]).withColumn("z_value", 0.5 * F.col("z_value") + 0.5 * F.col("local_z"))
+    df = df.withColumns({f"u_{c}": stats.unit_score(F.col(f"z_{c}"), ["frame"]) for c in ("value", "color", "texture")})
     return df.withColumn("score", stats.fused_score({"value": (F.col("u_value"), 0.25), "color": (F.col("u_color"), 0.20), "texture": (F.col("u_texture"), 0.08)}))
 
 
