@@ -3,8 +3,8 @@
 Rows are ordered by a 63-bit key: 39 bits of their group's hash, then 24 bits of their own, so that equal texts lie side by side
 and a group larger than a shard can still be cut. Splitters are found by counting, not by sampling: each round proposes probe
 keys inside the bracket of every unfinished splitter, counts the exact bytes below all probes in one pass (partial sums per
-task, one row per probe gap), and narrows the brackets until each splitter's bytes are within its tolerance. Then the rows
-are exchanged once. A shard is ``parts`` consecutive key ranges, so that numbering its rows is the work of many tasks.
+task, one row per probe gap), and narrows the brackets until each splitter's bytes are within its tolerance. Then the rows,
+with their texts, are exchanged once. A shard is ``parts`` consecutive key ranges, so that numbering its rows is the work of many tasks.
 
 The driver holds probes and splitters only (``n_shards * parts`` and ``probes`` numbers).
 
@@ -95,39 +95,46 @@ def find_splitters(keyed: DataFrame, ranges: int, strict_every: int, tolerance:
     return np.maximum.accumulate(best.astype(np.int64))
 
 
-def histogram_shards(df: DataFrame, size_col: str, group_col: str, order: list[str], n_shards: int = 16, tolerance: float = 0.001, rows_per_range: int = 1_000_000, least_parts: int = 16) -> DataFrame:
-    """df with shard (int, from 0) and slot (long, gapless from 0 in each shard); df should be a written table."""
+def histogram_shards(df: DataFrame, size: Column, group: Column, order: list[Column], n_shards: int = 16, tolerance: float = 0.001, rows_per_range: int = 1_000_000, bytes_per_range: int = 64_000_000, least_parts: int = 16) -> DataFrame:
+    """df with shard (int, from 0) and slot (long, gapless from 0 in each shard); df must be a written table, as it is read twice.
+
+    Splitters are found on keys and sizes alone; then the whole rows go through one exchange.
+    """
     kept = [c for c in df.columns if c.lower() not in ("shard", "slot")]
-    key = order_key(F.col(group_col), F.struct(*order))
-    keyed = df.select(F.struct(*kept).alias("row"), key.alias("key"), F.coalesce(F.col(size_col).cast("long"), F.lit(0)).alias("size"))
-    parts = max(least_parts, -(-df.count() // (n_shards * rows_per_range)))
+    key = order_key(group, F.struct(*order))
+    keyed = materialize(df.select(key.alias("key"), F.coalesce(size.cast("long"), F.lit(0)).alias("size")), "shard-keys")
+    total = keyed.agg(F.count("*").alias("rows"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).first()
+    parts = max(least_parts, -(-total.rows // (n_shards * rows_per_range)), -(-total.bytes // (n_shards * bytes_per_range)))
     splitters = find_splitters(keyed, n_shards * parts, parts, tolerance, 0.05)
     _, rows = bytes_between(keyed, splitters)
     before = np.cumsum(rows) - rows
     first = np.concatenate([before[s * parts : (s + 1) * parts] - before[s * parts] for s in range(n_shards)])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = np.searchsorted(splitters, batch.column(1).to_numpy(zero_copy_only=False), side="right")
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(at, pa.int64()), pa.array(first[at], pa.int64())], names=["row", "key", "range", "first"])
+    def find(keys: pa.Array) -> pa.Array:
+        return pa.array(np.searchsorted(splitters, keys.to_numpy(zero_copy_only=False), side="right"), pa.int64())
 
-    placed = keyed.select("row", "key").mapInArrow(run, f"row {keyed.schema['row'].dataType.simpleString()}, key long, range long, first long")
-    place = F.row_number().over(Window.partitionBy("range").orderBy("key", *[F.col("row").getField(c) for c in order])) - 1
+    # Only keys go to Python.
+    placed = df.select(F.struct(*kept).alias("row"), key.alias("key"), F.struct(*order).alias("rank")).withColumn("range", F.arrow_udf(find, "long")("key"))
+    place = F.row_number().over(Window.partitionBy("range").orderBy("key", "rank")) - 1
     numbered = placed.withColumn("place", place)
     return numbered.select(
         *[F.col("row").getField(c).alias(c) for c in kept],
         F.floor(F.col("range") / parts).cast("int").alias("shard"),
-        (F.col("first") + F.col("place")).alias("slot"),
+        (F.element_at(F.expr(f"array({','.join(f'{n}L' for n in first)})"), F.col("range").cast("int") + 1) + F.col("place")).alias("slot"),
     )
 
 
 def write_shards(df: DataFrame, path: str) -> None:
-    """Sharded rows as Parquet, one folder per shard, each file ordered by slot."""
-    df.repartition("shard", F.floor(F.col("slot") / 1_000_000)).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    """Sharded rows, whole, as Parquet, one folder per shard, each file ordered by slot. Rows stay in the tasks that numbered them."""
+    df.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 
 def shard_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_shards: int = 16) -> DataFrame:
-    """Per document: id, size (UTF-8 bytes plus 1), text_crc32, shard, slot. Equal texts are neighbours."""
+    """Per document: id, text, size (UTF-8 bytes plus 1), text_crc32, shard, slot. Equal texts are neighbours.
+
+    size and text_crc32 are those of the text that reached the shard.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    slim = docs.select(F.col(id_col), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("text_hash"))
-    return histogram_shards(materialize(slim, "shard-keys"), "size", "text_hash", [id_col, "text_crc32"], n_shards).drop("text_hash")
+    size, crc = (F.octet_length(text) + 1).cast("long"), F.crc32(text.cast("binary"))
+    sharded = histogram_shards(docs.select(id_col, text_col), size, F.xxhash64(text), [F.col(id_col), crc], n_shards)
+    return sharded.select(id_col, text_col, size.alias("size"), crc.alias("text_crc32"), "shard", "slot")

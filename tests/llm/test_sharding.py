@@ -1,5 +1,6 @@
 """op5: balance, gapless slots, neighbours, hot groups."""
 
+import zlib
 from collections import defaultdict
 
 import pytest
@@ -44,3 +45,13 @@ def test_write(spark, tmp_path):
     sharded = sharding.shard_documents(docs, n_shards=4)
     sharding.write_shards(sharded, str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 200
+
+
+def test_shards_hold_the_texts(spark, tmp_path):
+    texts = {i: f"t{i} é " + "x" * (i % 90) for i in range(300)} | {1000: None, 1001: ""}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    sharding.write_shards(sharding.shard_documents(docs, n_shards=4), str(tmp_path / "out"))
+    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert {r.doc_id: r.text for r in got} == texts
+    assert all(r["size"] == len((r.text or "").encode()) + 1 and r.text_crc32 == zlib.crc32((r.text or "").encode()) for r in got)
+    check(got, len(texts), 4, 2 * 100)
