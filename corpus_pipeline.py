@@ -53,8 +53,8 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents' tokens in sequences of 4096."""
-    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    """Pieces of the documents' tokens in sequences of 4096, each with its ids as they lie in its sequence."""
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), keep_ids=True)
 
 
 STAGES: list[tuple[str, Stage]] = [

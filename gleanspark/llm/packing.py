@@ -5,7 +5,9 @@ Method: a document's ids are cut at every ``capacity``; only the histogram of pi
 each into the packs with the most room, as counts of packing patterns. The patterns go back as ranges of
 ranks per length, and each piece, ranked among the pieces of its length, finds its sequence and offset by
 one join with that table. Ranks are counted per (length, salt) and shifted by the salts before, so a length
-that a third of all pieces share is not one task's work.
+that a third of all pieces share is not one task's work. Lengths are counted on pieces without ids; then the texts
+are tokenised again and the ids travel with their pieces through the ranks to their sequence, at 16 bits each where
+the vocabulary allows it, so that they are never stored in between. :func:`sequences` places them and pads.
 
 Tokens: :class:`WordBpe` gives the ids of a word-level BPE file of the tokenizers library. Per chunk of
 texts it finds word borders with numpy, encodes each distinct word once and gathers. Texts with
@@ -26,7 +28,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanspark.session import materialize
@@ -163,8 +165,8 @@ def chunks(texts: list[str | None], most: int = CHUNK_CHARS) -> Iterator[tuple[i
             run, size, at = [], 0, i + 1
 
 
-def tokenize(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, capacity: int = 4096) -> DataFrame:
-    """One row per piece: id, start, length, ids (little-endian uint32), doc_tokens."""
+def tokenize(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, capacity: int = 4096, kind_of_id: str = "<u4") -> DataFrame:
+    """One row per piece: id, start, length, ids (little-endian uint32, or as kind_of_id says), doc_tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = word_bpe(tokenizer)
@@ -179,7 +181,7 @@ def tokenize(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col:
                         rows.append(at + i)
                         starts.append(start)
                         lengths.append(len(piece))
-                        ids.append(piece.astype("<u4").tobytes())
+                        ids.append(piece.astype(kind_of_id).tobytes())
                         totals.append(len(encoded))
                 yield pa.RecordBatch.from_arrays(
                     [names.take(pa.array(rows, pa.int64())), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(ids, pa.binary()), pa.array(totals, pa.int64())],
@@ -234,14 +236,20 @@ def pattern_rows(patterns: list[tuple[tuple[tuple[int, int], ...], int]]) -> lis
     return rows
 
 
-def pack(pieces: DataFrame, order: list[str], length_col: str = "length", capacity: int = 4096, rows_per_salt: int = 500_000, least_salts: int = 64) -> DataFrame:
-    """pieces (lengths 1 to capacity) with sequence_id and offset. ``order`` ranks pieces of one length; pieces should be a written table."""
+def pack(pieces: DataFrame, order: list[str], length_col: str = "length", capacity: int = 4096, rows_per_salt: int = 500_000, least_salts: int = 64, wide: DataFrame | None = None, tokens_per_salt: int = 4_000_000) -> DataFrame:
+    """pieces (lengths 1 to capacity) with sequence_id and offset. ``order`` ranks pieces of one length; pieces should be a written table.
+
+    wide: the same rows with further columns, which are placed in their stead; a salt then holds tokens_per_salt tokens of a length at most.
+    """
     spark = pieces.sparkSession
     by_length = {r[0]: r[1] for r in pieces.groupBy(length_col).count().collect()}  # at most ``capacity`` rows
     rules = pattern_rows(shortest_pack_first(by_length, capacity))
-    salts = max(least_salts, -(-max(by_length.values(), default=0) // rows_per_salt))
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64(*order), F.lit(salts)))
-    shifts = salted.groupBy(length_col, "salt").count().withColumn(
+    bound = lambda length: rows_per_salt if wide is None else min(rows_per_salt, max(1, tokens_per_salt // length))
+    salts = [max(least_salts, -(-by_length.get(length, 0) // bound(length))) for length in range(1, capacity + 1)]
+    salt = F.pmod(F.xxhash64(*order), F.element_at(F.expr(f"array({','.join(map(str, salts))})"), F.col(length_col).cast("int")))
+    placed = pieces if wide is None else wide
+    salted = placed.withColumn("salt", salt)
+    shifts = pieces.withColumn("salt", salt).groupBy(length_col, "salt").count().withColumn(
         "shift", F.sum("count").over(Window.partitionBy(length_col).orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))
     )
     shifts = shifts.select(length_col, "salt", F.coalesce("shift", F.lit(0)).alias("shift"))
@@ -252,15 +260,81 @@ def pack(pieces: DataFrame, order: list[str], length_col: str = "length", capaci
     ruled = ranked.join(F.broadcast(table), (F.col(length_col) == F.col("rule_length")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
     nth = F.col("rank") - F.col("low")
     return ruled.select(
-        *[F.col(c) for c in pieces.columns],
+        *[F.col(c) for c in placed.columns],
         (F.col("first_sequence") + F.floor(nth / F.col("times")).cast("long")).alias("sequence_id"),
         (F.col("first_offset") + nth % F.col("times") * F.col(length_col)).alias("offset"),
     )
 
 
+def assembled(placed: DataFrame, id_col: str, capacity: int, pad_id: int, kind_of_id: str, rows: int = 1024) -> DataFrame:
+    """Sequences of placed pieces (with ids): the pieces of a sequence meet in one task and are written at their offsets."""
+
+    def build(held: pa.Table) -> Iterator[pa.RecordBatch]:
+        """held: whole sequences, in order."""
+        numbers = held.column("sequence_id").to_numpy()
+        firsts = np.flatnonzero(np.concatenate(([True], numbers[1:] != numbers[:-1])))
+        for at in range(0, len(firsts), rows):
+            first = firsts[at : at + rows]
+            part = held.slice(first[0], (firsts[at + rows] if at + rows < len(firsts) else len(numbers)) - first[0])
+            flat = np.frombuffer(b"".join(part.column("ids").to_pylist()), dtype=kind_of_id)
+            lengths, offsets = part.column("length").to_numpy(), part.column("offset").to_numpy()
+            which = np.searchsorted(first - first[0], np.arange(len(lengths)), side="right") - 1
+            out = np.full((len(first), capacity), pad_id, dtype="<u4")
+            out.reshape(-1)[np.repeat(which * capacity + offsets - (np.cumsum(lengths) - lengths), lengths) + np.arange(len(flat))] = flat
+            columns = [part.column(c).combine_chunks() for c in (id_col, "start", "length", "doc_tokens", "offset")]
+            pieces = pa.StructArray.from_arrays(columns, names=["id", "start", "length", "doc_tokens", "offset"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(numbers[first], pa.int64()),
+                    pa.array(np.bincount(which, weights=lengths).astype(np.int64)),
+                    pa.array([r.tobytes() for r in out], pa.binary()),
+                    pa.ListArray.from_arrays(pa.array(np.append(first - first[0], len(lengths)), pa.int32()), pieces),
+                ],
+                names=["sequence_id", "n_tokens", "ids", "pieces"],
+            )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # pieces of sequences that the next batch may go on with
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = pa.Table.from_batches([batch])
+            held = new if held is None else pa.concat_tables([held, new])
+            numbers = held.column("sequence_id").to_numpy()
+            whole = int(np.searchsorted(numbers == numbers[-1], True))  # the last sequence stays
+            if whole:
+                yield from build(held.slice(0, whole))
+                held = held.slice(whole)
+        if held is not None:
+            yield from build(held)
+
+    kind = placed.schema[id_col].dataType.simpleString()
+    dealt = placed.repartition("sequence_id").sortWithinPartitions("sequence_id", "offset")
+    return dealt.mapInArrow(run, f"sequence_id long, n_tokens long, ids binary, pieces array<struct<id:{kind},start:long,length:long,doc_tokens:long,offset:long>>")
+
+
+def sequences(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, capacity: int = 4096, pad_id: int | None = None) -> DataFrame:
+    """Documents to sequences: sequence_id, n_tokens, ids (``capacity`` little-endian uint32, pad_id or else end_id behind n_tokens), pieces.
+
+    pieces: array of id, start, length, doc_tokens, offset. docs should be a written table, as it is tokenised twice.
+    """
+    kind_of_id = "<u2" if max(end_id, int(word_bpe(tokenizer).ids.max()), word_bpe(tokenizer).whole.get_vocab_size()) < 1 << 16 else "<u4"
+    wide = tokenize(docs, tokenizer, id_col, text_col, end_id, capacity, kind_of_id).withColumn("ids_hash", F.xxhash64("ids"))
+    order = [id_col, "start", "ids_hash", "doc_tokens"]
+    placed = pack(materialize(wide.select(*order, "length"), "pieces"), order, "length", capacity, wide=wide)
+    return assembled(placed, id_col, capacity, end_id if pad_id is None else pad_id, kind_of_id)
+
+
 def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, capacity: int = 4096, keep_ids: bool = False) -> DataFrame:
-    """Documents to pieces in sequences: id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids on demand)."""
-    pieces = tokenize(docs, tokenizer, id_col, text_col, end_id, capacity).withColumn("ids_crc32", F.crc32("ids"))
-    columns = [id_col, "start", "length", "ids_crc32", "doc_tokens", *["ids"] * keep_ids]
-    pieces = materialize(pieces.select(*columns), "pieces")
-    return pack(pieces, [id_col, "start", "ids_crc32", "doc_tokens"], "length", capacity)
+    """Documents to pieces in sequences: id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids on demand).
+
+    Ids and their checksum are cut from the assembled sequence.
+    """
+    ids = lambda p: F.substr(F.col("ids"), (p["offset"] * 4 + 1).cast("int"), (p["length"] * 4).cast("int"))
+
+    def cut(p: Column) -> Column:
+        kept = [ids(p).alias("ids")] * keep_ids
+        return F.struct(p["id"].alias(id_col), p["start"].alias("start"), p["length"].alias("length"), F.crc32(ids(p)).alias("ids_crc32"), p["doc_tokens"].alias("doc_tokens"), F.col("sequence_id").alias("sequence_id"), p["offset"].alias("offset"), *kept)
+
+    made = sequences(docs, tokenizer, id_col, text_col, end_id, capacity)
+    return made.select(F.inline(F.transform("pieces", cut)))

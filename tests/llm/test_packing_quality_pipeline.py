@@ -72,6 +72,32 @@ def test_packs_documents(spark):
     assert twice.count() == 2 * packing.pack_documents(docs.where("doc_id < 3"), WORDS).count()
 
 
+def test_sequences_hold_the_ids(spark):
+    rng = random.Random(4)
+    texts = {i: " ".join(rng.choice(["ab", "the", "xyzzy", "É1", "日"]) for _ in range(rng.choice([0, 0, 5, 900, 9000]))) for i in range(60)} | {100: None}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    whole = Tokenizer.from_file(WORDS)
+    want = {i: [*whole.encode(t or "", add_special_tokens=False).ids, 2] for i, t in texts.items()}
+    made = packing.sequences(docs, WORDS, pad_id=49405).collect()
+    assert sorted(s.sequence_id for s in made) == list(range(len(made)))
+    found = defaultdict(dict)
+    for s in made:
+        ids = np.frombuffer(s.ids, "<u4")
+        assert len(ids) == 4096 and set(ids[s.n_tokens :].tolist()) <= {49405} and sum(p.length for p in s.pieces) == s.n_tokens
+        for p in s.pieces:
+            found[p.id][p.start] = ids[p.offset : p.offset + p.length].tolist()
+    assert {i: [x for _, part in sorted(parts.items()) for x in part] for i, parts in found.items()} == want
+    for r in packing.pack_documents(docs, WORDS, keep_ids=True).collect():
+        assert np.frombuffer(r.ids, "<u4").tolist() == want[r.doc_id][r.start : r.start + r.length] and r.ids_crc32 == zlib.crc32(r.ids)
+
+
+def test_pipeline_ends_in_tokens(spark):
+    docs = spark.createDataFrame([(1, "one two"), (2, "three")], "doc_id long, text string")
+    whole = Tokenizer.from_file(WORDS)
+    got = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in corpus_pipeline.packing_stage(spark, docs, SF).collect()}
+    assert got == {i: [*whole.encode(t, add_special_tokens=False).ids, 2] for i, t in ((1, "one two"), (2, "three"))}
+
+
 def test_quality_held_out(spark):
     sf = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{sf}/labels.parquet")
