@@ -2,48 +2,59 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanspark.functions.geometry import iou
+from gleanspark.session import materialize
 
 
-def box_pairs(left: DataFrame, right: DataFrame, keys: list[str], least: float = 0.3, cell: float = 0.25) -> DataFrame:
-    """Pairs (a_id, b_id, iou) of boxes of the same keys that overlap by least or more: boxes meet in the tiles that both touch."""
-    tiles = lambda at, size: F.sequence(F.floor(F.col(at) / cell), F.floor((F.col(at) + F.greatest(F.col(size), F.lit(0.0))) / cell))
+def box_pairs(left: DataFrame, right: DataFrame, keys: list[str], least: float = 0.3, cell: float = 0.25, hot: int = 2000) -> DataFrame:
+    """Pairs (a_id, b_id, iou) of boxes of the same keys that overlap by least or more: boxes meet in the first tile that both touch.
+
+    A tile of more than ``hot`` left boxes is salted: its left boxes are dealt out and its right ones go to every salt.
+    """
+    first = lambda at: F.floor(F.col(at) / cell)
+    tiles = lambda at, size: F.sequence(first(at), F.floor((F.col(at) + F.greatest(F.col(size), F.lit(0.0))) / cell))
+    tile = [*keys, "_tx", "_ty"]
 
     def tiled(df: DataFrame, p: str) -> DataFrame:
-        named = df.select(*keys, *[F.col(c).alias(f"{p}_{c}") for c in ("id", "x", "y", "w", "h")])
+        named = df.select(*keys, *[F.col(c).alias(f"{p}_{c}") for c in ("id", "x", "y", "w", "h")]).distinct()
         return named.withColumn("_tx", F.explode(tiles(f"{p}_x", f"{p}_w"))).withColumn("_ty", F.explode(tiles(f"{p}_y", f"{p}_h")))
 
-    pairs = tiled(left, "a").join(tiled(right, "b"), [*keys, "_tx", "_ty"]).drop("_tx", "_ty").distinct()
+    a, b = tiled(left, "a"), tiled(right, "b")
+    salts = a.groupBy(*tile).count().where(F.col("count") > hot).select(*tile, F.ceil(F.col("count") / hot).alias("_salts"))
+    count = F.coalesce("_salts", F.lit(1))
+    a = a.join(salts, tile, "left").withColumn("_salt", F.pmod(F.xxhash64("a_id"), count)).drop("_salts")
+    b = b.join(salts, tile, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), count - 1))).drop("_salts")
+    once = (F.col("_tx") == F.greatest(first("a_x"), first("b_x"))) & (F.col("_ty") == F.greatest(first("a_y"), first("b_y")))
     overlap = iou(*[F.col(f"a_{c}") for c in "xywh"], *[F.col(f"b_{c}") for c in "xywh"])
-    return pairs.select(*keys, "a_id", "b_id", overlap.alias("iou")).where(F.col("iou") >= least)
+    return a.join(b, [*tile, "_salt"]).where(once).select(*keys, "a_id", "b_id", overlap.alias("iou")).where(F.col("iou") >= least)
 
 
 def greedy_match(left: DataFrame, right: DataFrame, keys: list[str], least: float = 0.3) -> DataFrame:
     """keys..., a_id, b_id (null: unmatched), iou: in order of ``ord`` each left box takes the best unclaimed right one; the first wins ties.
 
-    left, right: keys..., id, ord, x, y, w, h. Only overlapping pairs of one comparison come to Python.
+    left, right: keys..., id, ord, x, y, w, h. Boxes claim in rounds of joins and aggregates: each left box asks for the best right box it
+    still has a pair with, each right box holds the earliest that asks, and its pairs with later left boxes go for good. A holder is only
+    ever replaced by an earlier left box, so when no request is turned down, the holders are those of the serial order.
     """
-    pairs = box_pairs(left, right, keys, least)
-    named = pairs.join(left.select(*keys, F.col("id").alias("a_id"), F.col("ord").alias("a_ord")), [*keys, "a_id"]).join(right.select(*keys, F.col("id").alias("b_id"), F.col("ord").alias("b_ord")), [*keys, "b_id"])
-
-    def claim(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["a_ord", "a_id", "iou", "b_ord", "b_id"], ascending=[True, True, False, True, True])
-        used, done, rows = set(), set(), []
-        for i, r in zip(pdf.index, pdf.itertuples(), strict=True):
-            if r.a_id not in done and r.b_id not in used:
-                done.add(r.a_id)
-                used.add(r.b_id)
-                rows.append(i)
-        return pdf.loc[rows, [*keys, "a_id", "b_id", "iou"]]
-
-    kinds = ", ".join(f"{c} {named.schema[c].dataType.simpleString()}" for c in [*keys, "a_id", "b_id", "iou"])
-    claimed = named.select(*keys, "a_id", "b_id", "iou", "a_ord", "b_ord").groupBy(*keys).applyInPandas(claim, kinds)
+
+    def ranks(df: DataFrame, p: str) -> DataFrame:
+        order = F.min(F.struct(F.col("ord").isNull().alias("none"), F.col("ord").alias("ord")))
+        return df.groupBy(*keys, F.col("id").alias(f"{p}_id")).agg(order.alias("_o")).select(*keys, f"{p}_id", F.struct("_o.none", "_o.ord", F.col(f"{p}_id").alias("id")).alias(f"{p}_rank"))
+
+    pairs = box_pairs(left, right, keys, least).join(ranks(left, "a"), [*keys, "a_id"]).join(ranks(right, "b"), [*keys, "b_id"])
+    live = materialize(pairs, "box-pairs")
+    while True:
+        best = live.groupBy(*keys, "a_id").agg(F.min(F.struct((-F.col("iou")).alias("cost"), "b_rank", "a_rank")).alias("m"))
+        asked = materialize(best.select(*keys, "a_id", F.col("m.b_rank.id").alias("b_id"), (-F.col("m.cost")).alias("iou"), F.col("m.a_rank").alias("a_rank")), "box-claims")
+        holders = asked.groupBy(*keys, "b_id").agg(F.min("a_rank").alias("holder"), F.count("*").alias("n"))
+        if holders.where("n > 1").isEmpty():
+            break
+        live = materialize(live.join(holders.drop("n"), [*keys, "b_id"], "left").where("holder IS NULL OR a_rank <= holder").drop("holder"), "box-pairs")
     every = left.select(*keys, F.col("id").alias("a_id"))
-    return every.join(claimed, [*keys, "a_id"], "left").withColumn("iou", F.coalesce("iou", F.lit(0.0)))
+    return every.join(asked.drop("a_rank"), [*keys, "a_id"], "left").withColumn("iou", F.coalesce("iou", F.lit(0.0)))
 
 
 def best_match(left: DataFrame, right: DataFrame, keys: list[str], least: float = 0.3) -> DataFrame:

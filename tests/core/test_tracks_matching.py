@@ -109,6 +109,31 @@ def test_greedy_match_equals_plain(spark):
     assert len(none) == 25 and {r.b_id for r in none} == {None} and {r.iou for r in none} == {0.0}
 
 
+def test_greedy_match_of_a_hot_key(spark):
+    """Equal and crowded boxes of one key, in salted tiles, without a group in one Python task."""
+    rng = random.Random(5)
+    make = lambda p: [(f"{p}{i:03}", rng.randrange(200), rng.randrange(8) / 20, rng.randrange(8) / 20, 0.2 + rng.randrange(2) / 10, 0.3) for i in range(250)]
+    a, b = make("a"), make("b")
+
+    def iou(p, q):
+        w = max(0.0, min(p[2] + p[4], q[2] + q[4]) - max(p[2], q[2]))
+        h = max(0.0, min(p[3] + p[5], q[3] + q[5]) - max(p[3], q[3]))
+        return w * h / (p[4] * p[5] + q[4] * q[5] - w * h)
+
+    pairs = {(p[0], q[0]): iou(p, q) for p in a for q in b if iou(p, q) >= 0.3}
+    found = matching.box_pairs(boxes(spark, a), boxes(spark, b), ["run"], hot=20)
+    assert {(r.a_id, r.b_id): r.iou for r in found.collect()} == pairs and found.count() == len(pairs)
+    free, want = set(q[0] for q in b), {}
+    order = {q[0]: q[1] for q in b}
+    for p in sorted(a, key=lambda p: (p[1], p[0])):
+        options = [(-v, order[j], j) for (i, j), v in pairs.items() if i == p[0] and j in free]
+        want[p[0]] = min(options)[2] if options else None
+        free.discard(want[p[0]])
+    matched = matching.greedy_match(boxes(spark, a), boxes(spark, b), ["run"])
+    assert {r.a_id: r.b_id for r in matched.collect()} == want
+    assert "FlatMapGroupsInPandas" not in matched._jdf.queryExecution().toString()
+
+
 def test_evaluation(spark):
     df = spark.createDataFrame([("CROP", "CROP")] * 3 + [("SOIL", "CROP"), ("FIELD", "SOIL")], "gt string, pred string")
     m = matching.confusion(df, F.col("gt"), F.col("pred"), known=["CROP", "SOIL"])
