@@ -2,8 +2,8 @@
 
 Regular expressions propose spans, checksums (Luhn, mod 97) confirm them, and words nearby adjust the
 score. Base kinds are email, ip, card and phone, leftmost and non-overlapping per kind; a match that
-fails its check is dropped and nothing inside it is tried again. The method adds ``iban`` (mod 97)
-and ``ssn`` (only with a context word). Offsets are code points, ends exclusive.
+fails its check is dropped and nothing inside it is tried again. The method adds ``iban`` (mod 97; unbroken or with single spaces)
+and ``ssn`` (only with a context word before or after it). Offsets are code points, ends exclusive.
 
 Spark gives no offsets of matches, so a text is both split at a pattern and matched by it: the lengths of
 gaps and matches, added up, are the offsets. Every pattern here repeats single character classes
@@ -23,6 +23,13 @@ BASE_KINDS = ("email", "ip", "card", "phone")
 EXTRA_KINDS = ("iban", "ssn")
 SPAN = "struct<kind:string,start:int,end:int,value:string,score:double>"
 
+#: Length of an IBAN by country, as registered: a printed one with single spaces ends there, whatever word follows.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC",
+}
+_PRINTED = "|".join(rf"(?:{'|'.join(codes.split())})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{length - 4}}}(?![A-Za-z0-9])" for length, codes in IBAN_LENGTHS.items())
+
 #: Patterns. A maximal run of 13 to 19 digits with single separators is what the greedy, unbounded card pattern
 #: leaves after its check; dots that no label follows are masked by \x01 before e-mail addresses are matched.
 PATTERNS = {
@@ -30,7 +37,7 @@ PATTERNS = {
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){12,18}+(?![\x20-]?[0-9])",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}+(?![A-Za-z0-9])",
+    "iban": rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:(?:{_PRINTED})|[A-Z]{{2}}[0-9]{{2}}[A-Z0-9]{{11,30}}+)(?![A-Za-z0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }
 #: Cheap tests that spare most texts the pattern.
@@ -39,7 +46,7 @@ HINTS = {
     "ip": r"[0-9]\.[0-9]",
     "card": r"[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9]",
     "phone": r"\+[0-9]",
-    "iban": r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11}",
+    "iban": r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11}",
     "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
 }
 PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.9, "ssn": 0.4}
@@ -82,7 +89,8 @@ def luhn(value: Column) -> Column:
 
 
 def mod97(value: Column) -> Column:
-    """True where value is an IBAN by ISO 7064 mod 97-10."""
+    """True where value, single spaces aside, is an IBAN by ISO 7064 mod 97-10."""
+    value = F.translate(value, " ", "")
     moved = F.concat(F.substr(value, F.lit(5)), F.substr(value, F.lit(1), F.lit(4)))
 
     def step(a: Column, c: Column) -> Column:
@@ -106,7 +114,8 @@ def spans_of(text: Column, kind: str, context_chars: int = 40) -> Column:
     def scored(m: Column) -> Column:
         first = F.greatest(m["start"] - context_chars, F.lit(0))
         before = F.lower(F.substr(text, first + 1, m["start"] - first))
-        score = F.when(before.rlike(CONTEXT[kind]), F.lit(min(1.0, PRIOR[kind] + 0.3))).otherwise(F.lit(PRIOR[kind]))
+        after = F.lower(F.substr(text, m["end"] + 1, F.lit(context_chars)))
+        score = F.when(before.rlike(CONTEXT[kind]) | after.rlike(CONTEXT[kind]), F.lit(min(1.0, PRIOR[kind] + 0.3))).otherwise(F.lit(PRIOR[kind]))
         return F.struct(F.lit(kind).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value"), score.alias("score"))
 
     return F.transform(F.filter(_matches(text, kind), lambda m: _confirmed(kind, m["value"])), scored)
@@ -121,7 +130,7 @@ def find_pii(docs: DataFrame, text_col: str = "text", extra_score: float = 0.6,
 
 
 def redact(text: Column, pii: Column) -> Column:
-    """The text with each span replaced by its kind in brackets; where spans of kinds overlap, the earlier and then longer one counts."""
+    """The text with each span replaced by its kind in brackets; overlapping spans are replaced together, by the kind of the earliest and then longest."""
     spans = F.array_sort(
         F.flatten(F.array(*[pii[k] for k in (*BASE_KINDS, *EXTRA_KINDS)])),
         lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["end"] - a["end"]),
@@ -130,7 +139,8 @@ def redact(text: Column, pii: Column) -> Column:
     def step(state: Column, s: Column) -> Column:
         piece = F.concat(F.substr(text, state["at"] + 1, s["start"] - state["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
         fresh = F.struct(s["end"].alias("at"), F.array_append(state["parts"], piece).alias("parts"))
-        return F.when(s["start"] >= state["at"], fresh).otherwise(state)
+        grown = F.struct(F.greatest(state["at"], s["end"]).alias("at"), state["parts"].alias("parts"))
+        return F.when(s["start"] >= state["at"], fresh).otherwise(grown)
 
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
     done = F.aggregate(spans, start, step, lambda s: F.concat(F.array_join(s["parts"], ""), F.substr(text, s["at"] + 1)))

@@ -54,3 +54,19 @@ def test_extras_context_and_redaction(spark):
     assert rows[1].clean == "My bank IBAN is [IBAN], not GB83WEST12345698765432. SSN: [SSN]; part 078-05-1120000. Mail [EMAIL] or call [PHONE]."
     assert rows[2].clean == rows[2].text and rows[1].kind == "p"
     assert pii.find_pii(docs.limit(0)).count() == 0
+
+
+def test_printed_ibans_context_behind_and_unions(spark):
+    texts = {
+        1: "Pay DE89 3704 0044 0532 0130 00 PLEASE, FR14 2004 1010 0505 0001 3M02 606 GB82 WEST 1234 5698 7654 32 OK, not DE88 3704 0044 0532 0130 00.",
+        2: "123-45-6789 is my SSN",
+        3: "+1 415 555 0100john@x.com now",
+        4: "DE89370400440532013000 NO93 8601 1117 947",
+    }
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    rows = {r.doc_id: r for r in pii.find_pii(docs).withColumn("clean", pii.redact(pii.F.col("text"), pii.F.col("pii"))).collect()}
+    assert rows[1].clean == "Pay [IBAN] PLEASE, [IBAN] [IBAN] OK, not DE88 3704 0044 0532 0130 00."
+    assert all(texts[1][s.start : s.end] == s.value for s in rows[1].pii.iban)
+    assert rows[2].clean == "[SSN] is my SSN"
+    assert rows[3].clean == "[PHONE] now"
+    assert rows[4].clean == "[IBAN] [IBAN]"
