@@ -1,18 +1,19 @@
 """Line deduplication in DataFrame functions only.
 
 Texts are split at ``\\n``. A line's key is the line without ``[\\x20\\x09-\\x0D]`` at its ends and with A-Z in
-lower case. Keys are hashed to 128 bits; a key counts once per document (one row is one document), and
+lower case. Keys are hashed to 128 bits; the distinct documents of each hash are counted, and
 keys of at least ``min_chars`` code points found in ``min_docs`` documents or more lose all their lines
 everywhere. What stays is joined by ``\\n`` in the old order.
 
-Only hashes and positions are shuffled to count and to find lines; the texts move once, when each meets
+Only hashes, ids and positions are shuffled to count and to find lines; the texts move once, when each meets
 its own list of positions. That list is keyed by document (id and text together), so a hot text is not
-a hot key. The frequent keys are broadcast when their counted number is at most ``broadcast_keys``
-(16 bytes each), else joined by shuffle.
+a hot key; counting goes by (hash, id) first, so a hot line isn't one either. The frequent keys are broadcast when
+their counted number is at most ``broadcast_keys`` (16 bytes each), else joined by shuffle.
 
 Defined cases: null and empty texts are one empty line; an empty key is never dropped (``min_chars`` >= 1);
-repeated rows are separate documents for the count; a document that loses all lines keeps the empty
-text; an empty table gives an empty result; other columns pass through, whatever their names.
+rows with the same id are one document for the count, rows without id one each, and every row loses its lines
+itself; ids may be of any type, and hold newlines; a document that loses all lines keeps the empty text; an empty table gives an
+empty result; very long texts are split whole; other columns pass through, whatever their names, but one named as ``out`` is replaced.
 """
 
 from __future__ import annotations
@@ -42,15 +43,18 @@ def key_hash(key: Column) -> Column:
 
 
 def document_key(id_col: Column, text: Column) -> Column:
-    """128 bits of id and text together: equal rows share it, and they lose the same lines."""
-    return F.unhex(F.md5(F.concat_ws("\n", F.coalesce(id_col.cast("string"), F.lit("null")), F.coalesce(text, F.lit("")))))
+    """128 bits of id and text, each hashed apart: equal rows share it, and they lose the same lines."""
+    ident = F.coalesce(F.md5(id_col.cast("string")), F.lit(""))  # as long as no hash is
+    return F.unhex(F.md5(F.concat(ident, F.md5(F.coalesce(text, F.lit(""))))))
 
 
-def frequent_keys(docs: DataFrame, text_col: str = "text", min_docs: int = 10, min_chars: int = 1) -> DataFrame:
+def frequent_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_chars: int = 1) -> DataFrame:
     """(h): hashes of the keys found in at least min_docs documents."""
-    keys = docs.select(F.explode(F.array_distinct(F.transform(lines_of(F.col(text_col)), line_key))).alias("key"))
-    counted = keys.where(F.char_length("key") >= min_chars).groupBy(key_hash(F.col("key")).alias("h")).count()
-    return counted.where(F.col("count") >= min_docs).select("h")
+    own = F.when(F.col(id_col).isNull(), F.monotonically_increasing_id())
+    numbered = docs.select(F.col(id_col).alias("id"), own.alias("row"), F.col(text_col).alias("body"))
+    keys = numbered.select("id", "row", F.explode(F.array_distinct(F.transform(lines_of(F.col("body")), line_key))).alias("key"))
+    found = keys.where(F.char_length("key") >= min_chars).select(key_hash(F.col("key")).alias("h"), "id", "row").distinct()
+    return found.groupBy("h").count().where(F.col("count") >= min_docs).select("h")
 
 
 def line_dedup(
@@ -60,9 +64,10 @@ def line_dedup(
     min_docs: int = 10,
     min_chars: int = 1,
     broadcast_keys: int = 500_000,
+    out: str = "line_dedup",
 ) -> DataFrame:
-    """docs with text replaced by what stays, and n_lines, n_dropped appended as columns of struct ``line_dedup``."""
-    frequent = materialize(frequent_keys(docs, text_col, min_docs, min_chars), "line-keys")
+    """docs with text replaced by what stays, and n_lines, n_dropped appended as columns of struct ``out``."""
+    frequent = materialize(frequent_keys(docs, id_col, text_col, min_docs, min_chars), "line-keys")
     if frequent.count() <= broadcast_keys:
         frequent = F.broadcast(frequent)
     text, ident = F.col(text_col), F.col(id_col)
@@ -81,5 +86,5 @@ def line_dedup(
         F.size(lines_of(F.col("body"))).cast("long").alias("n_lines"),
         F.coalesce(F.size("drops"), F.lit(0)).cast("long").alias("n_dropped"),
     )
-    fields = [body.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns]
-    return rows.select(*fields, counts.alias("line_dedup"))
+    fields = [body.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns if c.lower() != out.lower()]
+    return rows.select(*fields, counts.alias(out))
