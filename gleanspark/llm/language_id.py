@@ -5,7 +5,8 @@ vectors, each permuted (rolled) by its place, by elementwise product; a document
 all its n-grams; a language's prototype bundles the unit vectors of its training documents. A document gets the language
 whose prototype has the largest cosine with it.
 
-A chunk of documents is one matrix product: counts of the distinct n-grams by document, times the n-grams' vectors. Training adds
+A chunk of documents is a matrix product: counts of the distinct n-grams by document, times the n-grams' vectors, in blocks of
+n-grams, so that texts of many scripts need no more memory than others. Training adds
 up at most one vector per language and task, then one per language: the data meets in sums only.
 
 Letters are what Unicode calls letters, in lower case; any run of other characters is one boundary symbol, which also stands before
@@ -13,7 +14,7 @@ the first and after the last letter.
 
 Defined cases: a null text, or one without letters, is ``und`` with score 0; rows without label or id are not learned from; with
 nothing to learn from, all texts are ``und``; ties go to the language that comes first in order; repeated rows are treated row by row;
-an empty table gives an empty result; very long texts are counted whole; other columns pass through ``predict``.
+an empty table gives an empty result; very long texts are counted whole, piece by piece; other columns pass through ``predict``.
 """
 
 from __future__ import annotations
@@ -27,10 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleanspark.llm.packing import chunks
+from gleanspark.session import ship
 
 DIMENSIONS = 1024
 GRAM = 3
 CHUNK = 1_500_000
+GRAMS = 8192
 UNKNOWN = "und"
 
 
@@ -46,10 +49,36 @@ def letter_vectors(points: np.ndarray, dimensions: int, seed: int) -> np.ndarray
     return np.array(rows, dtype=np.int8).reshape(len(points), dimensions) * 2 - 1
 
 
-def document_vectors(texts: list[str], dimensions: int = DIMENSIONS, seed: int = 1) -> np.ndarray:
-    """The bundled n-gram vectors of texts (float32), one row each; a text without letters has a zero row."""
-    joined = " ".join(t.lower() for t in texts) if texts else ""
-    bounds = np.cumsum([0] + [len(t.lower()) + 1 for t in texts])
+def _cut(text: str, most: int) -> list[str]:
+    """text in pieces of about ``most`` characters that begin at non-letters, so that they hold the same n-grams as the whole."""
+    out, at = [], 0
+    while len(text) - at > most:
+        end = next((i for i in range(at + most, at, -1) if not text[i].isalpha()), 0) or next((i for i in range(at + most, len(text)) if not text[i].isalpha()), len(text))
+        out.append(text[at:end])
+        at = end
+    return [*out, text[at:]]
+
+
+def document_vectors(texts: list[str], dimensions: int = DIMENSIONS, seed: int = 1, most: int = CHUNK) -> np.ndarray:
+    """The bundled n-gram vectors of texts (float32), one row each; a text without letters has a zero row.
+
+    Texts longer than ``most`` are added up piece by piece.
+    """
+    out = np.zeros((len(texts), dimensions), dtype=np.float32)
+    for at, part in chunks([t.lower() for t in texts], most):
+        if len(part[-1]) <= most:
+            out[at : at + len(part)] = _vectors(part, dimensions, seed)
+            continue
+        if len(part) > 1:
+            out[at : at + len(part) - 1] = _vectors(part[:-1], dimensions, seed)
+        for piece in _cut(part[-1], most):
+            out[at + len(part) - 1] += _vectors([piece], dimensions, seed)[0]
+    return out
+
+
+def _vectors(texts: list[str], dimensions: int, seed: int) -> np.ndarray:
+    joined = " ".join(texts)
+    bounds = np.cumsum([0] + [len(t) + 1 for t in texts])
     points = np.frombuffer(f" {joined} ".encode("utf-32-le", "replace"), dtype=np.uint32)
     owner = np.repeat(np.arange(len(texts)), np.diff(bounds))
     owner = np.concatenate(([0], owner))[: len(points)]
@@ -81,14 +110,26 @@ def document_vectors(texts: list[str], dimensions: int = DIMENSIONS, seed: int =
     else:
         grams, index = np.unique(code, return_inverse=True)
     vectors = letter_vectors(known, dimensions, seed)
-    bound = (np.roll(vectors, 2, axis=1)[grams // base**2] * np.roll(vectors, 1, axis=1)[grams // base % base] * vectors[grams % base]).astype(np.float32)
-    step = max(1, 8_000_000 // len(grams))
-    starts = np.searchsorted(owner, np.arange(0, len(texts) + step, step))
-    for i, first in enumerate(range(0, len(texts), step)):
-        part = slice(starts[i], starts[i + 1])
-        rows = min(step, len(texts) - first)
-        counts = np.bincount((owner[part] - first) * len(grams) + index[part], minlength=rows * len(grams)).reshape(rows, len(grams))
-        out[first : first + rows] = counts.astype(np.float32) @ bound
+    second, first_ = np.roll(vectors, 1, axis=1), np.roll(vectors, 2, axis=1)
+    # A block of n-grams at a time, so that memory doesn't follow their number.
+    blocks = index // GRAMS
+    order = np.argsort(blocks, kind="stable") if len(grams) > GRAMS else slice(None)
+    index, owner = index[order], owner[order]
+    borders = np.searchsorted(blocks[order], np.arange(len(grams) // GRAMS + 2))
+    for block in range(len(grams) // GRAMS + 1):
+        held = grams[block * GRAMS : (block + 1) * GRAMS]
+        inside = slice(borders[block], borders[block + 1])
+        own_index, own = index[inside] - block * GRAMS, owner[inside]
+        if not len(own):
+            continue
+        bound = (first_[held // base**2] * second[held // base % base] * vectors[held % base]).astype(np.float32)
+        step = max(1, 8_000_000 // len(held))
+        starts = np.searchsorted(own, np.arange(0, len(texts) + step, step))
+        for i, first in enumerate(range(0, len(texts), step)):
+            part = slice(starts[i], starts[i + 1])
+            rows = min(step, len(texts) - first)
+            counts = np.bincount((own[part] - first) * len(held) + own_index[part], minlength=rows * len(held)).reshape(rows, len(held))
+            out[first : first + rows] += counts.astype(np.float32) @ bound
     return out
 
 
@@ -99,6 +140,7 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
 
 def train(docs: DataFrame, text_col: str = "text", label_col: str = "lang", dimensions: int = DIMENSIONS, seed: int = 1) -> tuple[list[str], np.ndarray]:
     """Labels in order, and their prototypes as unit rows. One small row per language reaches the driver."""
+    ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -126,6 +168,7 @@ def train(docs: DataFrame, text_col: str = "text", label_col: str = "lang", dime
 
 def predict(docs: DataFrame, labels: list[str], prototypes: np.ndarray, text_col: str = "text", seed: int = 1, pred_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
     """docs with pred_col and score_col: the cosine with the chosen prototype, cut to 0..1."""
+    ship(docs.sparkSession)
     dimensions = prototypes.shape[1]
     known = docs.sparkSession.sparkContext.broadcast(prototypes)  # languages x dimensions
     new = {pred_col.lower(), score_col.lower()}
