@@ -6,12 +6,13 @@ fails its check is dropped and nothing inside it is tried again. The method adds
 and ``ssn`` (only with a context word before or after it). Offsets are code points, ends exclusive.
 
 Spark gives no offsets of matches, so a text is both split at a pattern and matched by it: the lengths of
-gaps and matches, added up, are the offsets. Every pattern here repeats single character classes
+gaps and matches, added up, are the offsets, and the context is cut from the neighbouring gaps and matches. No step copies
+what was found so far, or walks the text, for each match, so that a text of 100,000 matches takes seconds. Every pattern here repeats single character classes
 only, or groups a bounded number of times, so that neither a long run of digits nor one of dots can
 exhaust Java's stack or take quadratic time.
 
 Defined cases: null and empty texts have no spans; repeated rows and ids are treated row by row; an empty
-table gives an empty result; other columns pass through.
+table gives an empty result; very long texts are searched whole; other columns pass through, but one named as ``out`` is replaced.
 """
 
 from __future__ import annotations
@@ -60,25 +61,70 @@ CONTEXT = {
 }
 
 
-def _matches(text: Column, kind: str) -> Column:
-    """array<struct<start,end,value>> of the pattern's matches in text, offsets counted in code points."""
+def running(values: Column, op) -> Column:  # noqa: ANN001
+    """Each place's ``op`` (associative) over all values up to it. Blocks of about the root of the size keep copying of arrays small."""
+    empty = F.array().cast("array<int>")
+
+    def prefixes(block: Column) -> Column:
+        last = lambda a: F.element_at(a, -1)
+        return F.aggregate(block, empty, lambda a, v: F.array_append(a, F.when(F.size(a) == 0, v).otherwise(op(last(a), v))))
+
+    def over(blocks: Column) -> Column:
+        ends = prefixes(F.transform(blocks, lambda b: F.element_at(b, -1)))
+        shift = lambda end: lambda b, j: F.when(j == 0, b).otherwise(F.transform(b, lambda v: op(F.get(end, j - 1), v)))
+        return F.flatten(bound(ends, lambda end: F.transform(blocks, shift(end))))
+
+    def whole(values: Column, step: Column) -> Column:
+        n = F.size(values)
+        starts = F.sequence(F.lit(0), F.floor((n - 1) / step).cast("int"))
+        return bound(F.transform(starts, lambda j: prefixes(part(values, j * step, F.least(j * step + step, n) - 1))), over)
+
+    size_of_block = lambda v: F.ceil(F.sqrt(F.size(v))).cast("int")
+    return F.when(F.size(values) > 0, bound(values, lambda v: bound(size_of_block(v), lambda step: whole(v, step)))).otherwise(empty)
+
+
+def part(values: Column, first: Column, last: Column) -> Column:
+    """The values at places first to last, which must exist. F.slice would go over the whole array."""
+    return F.transform(F.sequence(first, last), lambda i: F.get(values, i))
+
+
+def bound(value: Column, f) -> Column:  # noqa: ANN001
+    """f(value), with value computed once however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _matches(text: Column, kind: str, context_chars: int) -> Column:
+    """array<struct<start,end,value,near>> of the pattern's matches in text, offsets in code points; near: the text about the match, which a bar stands for."""
     source = text
     if kind == "email":
         source = F.regexp_replace(F.translate(text, "\x01", "\x02"), r"\.(?![A-Za-z0-9-])", "\x01")
     found = F.regexp_extract_all(source, F.lit(PATTERNS[kind]), F.lit(0))
-    gaps = F.transform(F.split(source, PATTERNS[kind], -1), F.char_length)
-    steps = F.arrays_zip(gaps.alias("gap"), found.alias("value"))  # the last gap has no value
-    none = F.array().cast("array<struct<start:int,end:int,value:string>>")
+    gaps = F.split(source, PATTERNS[kind], -1)
+    # Matches are at least four code points long, so that few neighbours hold the context.
+    pairs = -(-context_chars // 4)
+
+    def spans(gaps: Column, found: Column) -> Column:
+        sizes = F.transform(F.arrays_zip(gaps.alias("gap"), found.alias("value")), lambda x: F.char_length(x["gap"]) + F.coalesce(F.char_length(x["value"]), F.lit(0)))
+        edge = lambda cut: F.transform(F.arrays_zip(gaps.alias("gap"), found.alias("value")), lambda x: cut(x))
+        heads = edge(lambda x: F.concat(F.left(x["gap"], F.lit(context_chars)), F.left(F.coalesce(x["value"], F.lit("")), F.lit(context_chars))))
+        tails = edge(lambda x: F.concat(F.right(x["gap"], F.lit(context_chars)), F.right(F.coalesce(x["value"], F.lit("")), F.lit(context_chars))))
 
-    def step(state: Column, x: Column) -> Column:
-        start = state["at"] + x["gap"]
-        end = start + F.char_length(x["value"])
-        span = F.struct(start.alias("start"), end.alias("end"), F.translate(x["value"], "\x01", ".").alias("value"))
-        grown = F.when(x["value"].isNull(), state["spans"]).otherwise(F.array_append(state["spans"], span))
-        return F.struct(F.coalesce(end, start).alias("at"), grown.alias("spans"))
+        def span(ends: Column, heads: Column, tails: Column) -> Column:
+            def made(value: Column, i: Column) -> Column:
+                end = F.get(ends, i)
+                first = F.greatest(i - pairs, F.lit(0))
+                before = F.array_join(F.transform(F.sequence(first, i), lambda j: F.when(j < i, F.get(tails, j)).otherwise(F.right(F.get(gaps, j), F.lit(context_chars)))), "")
+                after = F.array_join(part(heads, i + 1, F.least(i + 1 + pairs, F.size(found))), "")
+                near = F.concat(F.right(before, F.lit(context_chars)), F.lit("|"), F.left(after, F.lit(context_chars)))
+                return F.struct((end - F.char_length(value)).alias("start"), end.alias("end"), F.translate(value, "\x01", ".").alias("value"), near.alias("near"))
 
-    start = F.struct(F.lit(0).alias("at"), none.alias("spans"))
-    return F.when(text.rlike(HINTS[kind]), F.aggregate(steps, start, step, lambda s: s["spans"])).otherwise(none)
+            return F.transform(found, made)
+
+        ends = running(sizes, lambda a, b: a + b)
+        return bound(ends, lambda e: bound(heads, lambda h: bound(tails, lambda t: span(e, h, t))))
+
+    none = F.array().cast("array<struct<start:int,end:int,value:string,near:string>>")
+    return F.when(text.rlike(HINTS[kind]), bound(gaps, lambda g: bound(found, lambda v: spans(g, v)))).otherwise(none)
 
 
 def luhn(value: Column) -> Column:
@@ -112,13 +158,10 @@ def spans_of(text: Column, kind: str, context_chars: int = 40) -> Column:
     """array<SPAN> of one kind, in the order of the text."""
 
     def scored(m: Column) -> Column:
-        first = F.greatest(m["start"] - context_chars, F.lit(0))
-        before = F.lower(F.substr(text, first + 1, m["start"] - first))
-        after = F.lower(F.substr(text, m["end"] + 1, F.lit(context_chars)))
-        score = F.when(before.rlike(CONTEXT[kind]) | after.rlike(CONTEXT[kind]), F.lit(min(1.0, PRIOR[kind] + 0.3))).otherwise(F.lit(PRIOR[kind]))
+        score = F.when(F.lower(m["near"]).rlike(CONTEXT[kind]), F.lit(min(1.0, PRIOR[kind] + 0.3))).otherwise(F.lit(PRIOR[kind]))
         return F.struct(F.lit(kind).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value"), score.alias("score"))
 
-    return F.transform(F.filter(_matches(text, kind), lambda m: _confirmed(kind, m["value"])), scored)
+    return F.transform(F.filter(_matches(text, kind, context_chars), lambda m: _confirmed(kind, m["value"])), scored)
 
 
 def find_pii(docs: DataFrame, text_col: str = "text", extra_score: float = 0.6, out: str = "pii") -> DataFrame:
@@ -126,25 +169,46 @@ def find_pii(docs: DataFrame, text_col: str = "text", extra_score: float = 0.6,
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = [spans_of(text, k).alias(k) for k in BASE_KINDS]
     extra = [F.filter(spans_of(text, k), lambda s: s["score"] >= extra_score).alias(k) for k in EXTRA_KINDS]
-    return docs.withColumn(out, F.struct(*base, *extra))
+    kept = [F.col(c) for c in docs.columns if c.lower() != out.lower()]
+    return docs.select(*kept, F.struct(*base, *extra).alias(out))
+
 
+def cut(blocks: Column, first: Column, behind: Column, block: int) -> Column:
+    """The code points from first up to behind of a text given as blocks; costs what the piece is long, wherever it lies."""
+    at = F.floor(first / block).cast("int")
+    held = F.array_join(part(blocks, at, F.floor(behind / block).cast("int")), "")  # the block behind the last is null, and left out
+    return F.substr(held, first - at * block + 1, behind - first)
 
-def redact(text: Column, pii: Column) -> Column:
+
+def redact(text: Column, pii: Column, block: int = 512) -> Column:
     """The text with each span replaced by its kind in brackets; overlapping spans are replaced together, by the kind of the earliest and then longest."""
-    spans = F.array_sort(
-        F.flatten(F.array(*[pii[k] for k in (*BASE_KINDS, *EXTRA_KINDS)])),
-        lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["end"] - a["end"]),
-    )
-
-    def step(state: Column, s: Column) -> Column:
-        piece = F.concat(F.substr(text, state["at"] + 1, s["start"] - state["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        fresh = F.struct(s["end"].alias("at"), F.array_append(state["parts"], piece).alias("parts"))
-        grown = F.struct(F.greatest(state["at"], s["end"]).alias("at"), state["parts"].alias("parts"))
-        return F.when(s["start"] >= state["at"], fresh).otherwise(grown)
-
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
-    done = F.aggregate(spans, start, step, lambda s: F.concat(F.array_join(s["parts"], ""), F.substr(text, s["at"] + 1)))
-    return F.when(F.size(spans) > 0, done).otherwise(text)
+    kinds = (*BASE_KINDS, *EXTRA_KINDS)
+    order = F.array(*[F.lit(k) for k in kinds])
+    slim = lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("minus_end"), F.array_position(order, s["kind"]).alias("kind"))
+    spans = F.array_sort(F.transform(F.flatten(F.array(*[pii[k] for k in kinds])), slim))
+    blocks = F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{block}}}"), F.lit(0))
+
+    def replaced(spans: Column, reach: Column, fresh: Column, blocks: Column) -> Column:
+        """reach: the furthest end so far; fresh: places of the spans that begin behind all earlier ones."""
+
+        def piece(i: Column, nth: Column) -> Column:
+            span = F.get(spans, i)
+            before = F.when(nth == 0, F.lit(0)).otherwise(F.get(reach, i - 1))
+            return F.concat(cut(blocks, before, span["start"], block), F.lit("["), F.upper(F.get(order, span["kind"].cast("int") - 1)), F.lit("]"))
+
+        rest = cut(blocks, F.element_at(reach, -1), F.char_length(text), block)
+        return F.concat(F.array_join(F.transform(fresh, piece), ""), rest)
+
+    def starts(spans: Column, reach: Column) -> Column:
+        places = F.sequence(F.lit(0), F.size(spans) - 1)
+        return F.filter(places, lambda i: (i == 0) | (F.get(spans, i)["start"] >= F.get(reach, i - 1)))
+
+    def merged(spans: Column) -> Column:
+        reach = running(F.transform(spans, lambda s: -s["minus_end"]), F.greatest)
+        return bound(reach, lambda r: bound(starts(spans, r), lambda f: bound(blocks, lambda b: replaced(spans, r, f, b))))
+
+    some = F.aggregate(F.array(*[F.size(pii[k]) for k in kinds]), F.lit(0), lambda a, n: a + n) > 0
+    return F.when(some, bound(spans, merged)).otherwise(text)
 
 
 def spans_text(pii: Column, kinds: tuple[str, ...]) -> Column:
