@@ -9,13 +9,14 @@ normalised text, so that a digest collision can never merge two texts:
 3. the salts' winners, combined per ``(digest, text)``.
 
 A text that fills a third of the table therefore sends at most one row per task to its salts and
-``salts`` rows to its last reducer. Documents then fetch their group by digest alone, with slim rows;
-digests that hold several texts (collisions) are joined by full content instead.
+``salts`` rows to its last reducer. Documents then fetch their group by digest alone, with slim rows: those of hot texts from
+a broadcast of a proven size (see :mod:`gleanspark.llm.skew`), the others by shuffle; digests that hold several texts (collisions)
+are joined by full content instead.
 
 Defined cases: null and empty texts are one group; repeated doc_ids are separate rows, each row
 counts in ``group_size``; if several rows of a group share the smallest doc_id, all of them are ``kept``; a
-null doc_id never wins while a non-null one exists; an empty table gives an empty result; other columns
-are ignored.
+null doc_id never wins while a non-null one exists; an empty table gives an empty result; very long texts are compared whole;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleanspark.llm.skew import spread_lookup
 from gleanspark.session import materialize
 
 #: Whitespace that counts as one space: fixed values of the task.
@@ -54,7 +56,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     digests = materialize(digests.withColumn("texts", F.when(F.size("texts") > 1, F.col("texts"))), "exact-dedup")
     norm = normalised(F.col(text_col))
     rows = docs.select(F.col(id_col).alias("id"), F.sha2(norm, 256).alias("digest"))
-    found = rows.join(digests.where("texts IS NULL").drop("texts"), "digest")
+    alone = digests.where("texts IS NULL").drop("texts").withColumn("rows", F.col("group_size"))
+    found = spread_lookup(rows, alone, "digest", "rows").where("group_size IS NOT NULL")
     collided = digests.where("texts IS NOT NULL").select("digest", F.inline("texts"))
     if not collided.isEmpty():
         full = docs.select(F.col(id_col).alias("id"), norm.alias("norm"), F.sha2(norm, 256).alias("digest"))

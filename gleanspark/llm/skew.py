@@ -1,0 +1,38 @@
+"""Lookups that no hot key can bring into one task."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+
+def spread_lookup(rows: DataFrame, table: DataFrame, key: str, count: str, most_hot: int = 100_000, least: int = 1_000) -> DataFrame:
+    """rows left-joined with table (a written table, one row per key) on ``key``, without table's column ``count``.
+
+    ``count`` is how many of the rows have the key. Keys with at least ``1 / most_hot`` of all counted rows number at most ``most_hot``; that is the proven bound of the broadcast by which their rows are answered
+    where they lie. All other keys meet their rows by shuffle, in groups of fewer rows than that. rows whose key is null, and those
+    answered, are dealt by a hash of all their columns.
+    """
+    total = table.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0]
+    bar = max(least, -(-total // most_hot))
+    values = [c for c in table.columns if c not in (key, count)]
+    tag = uuid.uuid4().hex[:8]
+    pack = F.struct(*[F.col(c).alias(c) for c in values])
+    hot = table.where(F.col(count) >= bar).select(F.col(key).alias(f"k{tag}"), pack.alias(f"hot{tag}"))
+    rest = table.where(F.col(count) < bar).select(F.col(key).alias(f"k{tag}"), pack.alias(f"found{tag}"))
+    marked = rows.join(F.broadcast(hot), F.col(key) == F.col(f"k{tag}"), "left").drop(f"k{tag}")
+    # Rows that have no key to look up, or have their answer, are spread by a hash; whatever that meets is not read.
+    sought = F.col(f"hot{tag}").isNull() & F.col(key).isNotNull()
+    marked = marked.withColumn(f"s{tag}", F.when(sought, F.col(key)).otherwise(_filler(rows, key)))
+    joined = marked.join(rest, F.col(f"s{tag}") == F.col(f"k{tag}"), "left")
+    picked = lambda c: F.when(sought, F.col(f"found{tag}")[c]).otherwise(F.col(f"hot{tag}")[c]).alias(c)
+    return joined.select(*[F.col(c) for c in rows.columns], *[picked(c) for c in values])
+
+
+def _filler(rows: DataFrame, key: str) -> Column:
+    """A value of the key's type that spreads rows evenly."""
+    spread = F.xxhash64(*[F.col(c) for c in rows.columns])
+    kind = rows.schema[key].dataType.simpleString()
+    return {"string": F.hex(spread), "binary": F.unhex(F.md5(spread.cast("string")))}.get(kind, spread.cast(kind))
