@@ -35,7 +35,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleanspark.session import materialize
+from gleanspark.llm.skew import spread_lookup
+from gleanspark.session import materialize, ship
 
 BANDS, ROWS, SHINGLE, SIMILAR = 32, 5, 5, 0.8
 BLOCK = 256
@@ -158,6 +159,7 @@ def node_of(words: Column) -> Column:
 
 def banded(rows: DataFrame, keep: list[str], seed: int, n_bands: int = BANDS, n_rows: int = ROWS) -> DataFrame:
     """rows(keep..., shingles) to (keep..., buckets array<long>)."""
+    ship(rows.sparkSession)
     types = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,12 +233,13 @@ class _Search:
         """The memberships, with comp and the bucket's size, of buckets that hold several components."""
         known = self.comps(members)
         spread = known.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"))
-        return materialize(known.join(spread.where("lo <> hi").select("bucket", "n"), "bucket"), "near-open")
+        mixed = materialize(spread.where("lo <> hi").select("bucket", "n", F.col("n").alias("rows")), "near-mixed")
+        return materialize(spread_lookup(known, mixed, "bucket", "rows").where("n IS NOT NULL"), "near-open")
 
     def hub_pairs(self, members: DataFrame) -> DataFrame:
         """Each member with its bucket's hub, the smallest node, where their components differ."""
-        hubs = members.groupBy("bucket").agg(F.min("node").alias("a"), F.min_by("comp", "node").alias("ca"))
-        joined = members.join(hubs, "bucket").where(F.col("ca") != F.col("comp"))
+        hubs = members.groupBy("bucket").agg(F.min("node").alias("a"), F.min_by("comp", "node").alias("ca"), F.count("*").alias("rows"))
+        joined = spread_lookup(members, materialize(hubs, "near-hubs"), "bucket", "rows").where(F.col("ca") != F.col("comp"))
         return joined.select("a", F.col("node").alias("b"), "ca", F.col("comp").alias("cb"))
 
     def cross_pairs(self, members: DataFrame) -> DataFrame:
@@ -298,8 +301,8 @@ def similar_components(left: pd.DataFrame, right: pd.DataFrame, threshold: float
 def crowded(members: DataFrame, label: str) -> DataFrame:
     """The distinct memberships of buckets that hold two nodes or more."""
     members = members.distinct()
-    held = members.groupBy("bucket").count().where("count > 1").select("bucket")
-    return materialize(members.join(held, "bucket"), label)
+    held = members.groupBy("bucket").count().where("count > 1").withColumn("n", F.col("count"))
+    return materialize(spread_lookup(members, materialize(held, "near-held"), "bucket", "count").where("n IS NOT NULL").drop("n"), label)
 
 
 def _gathered(worded: DataFrame, needed: DataFrame, broadcast_nodes: int) -> DataFrame:
@@ -333,20 +336,23 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     names = materialize(needed.join(ranked.select("number", "node"), "number").select("hash", "node"), "near-names")
     search = _Search(ranked.select("node", "shingles"), threshold, small)
     search.settle(crowded(met.join(names, "hash").select("bucket", "node"), "near-members"))
+    # What rows are told is told per node (equal texts), then per class; no class's or node's rows need to meet.
+    first = F.min(F.struct(F.col("id").isNull(), F.col("id")))
+    nodes = with_buckets.where("hash IS NOT NULL").groupBy("hash").agg(first.alias("least"), F.count("*").alias("rows"))
     classes = search.comps(names).select("hash", "comp")
-    slim = with_buckets.select("id", "hash").join(classes, "hash", "left")
-    key = F.coalesce(F.hex("hash"), F.lit(""))
-    key = F.when(F.col("comp").isNotNull(), F.col("comp").cast("string")).otherwise(key).alias("class")
-    slim = slim.select("id", F.col("hash").alias("node"), key)
-    first = F.min(F.struct(F.col("id").isNull(), F.col("id"), F.col("node")))
-    sizes = slim.where("node IS NOT NULL").groupBy("class").agg(first.alias("first"), F.count("*").alias("class_size"))
-    found = slim.join(sizes, "class", "left")
+    key = F.coalesce(F.col("comp").cast("string"), F.hex("hash"))
+    nodes = materialize(nodes.join(classes, "hash", "left").select("hash", "least", "rows", key.alias("class")), "near-rows")
+    least = F.min(F.struct(F.col("least").alias("id"), F.col("hash").alias("node")))
+    sizes = materialize(nodes.groupBy("class").agg(least.alias("first"), F.sum("rows").alias("class_size"), F.count("*").alias("nodes")), "near-sizes")
+    told = materialize(spread_lookup(nodes.select("hash", "rows", "class"), sizes, "class", "nodes").select("hash", "rows", "first", "class_size"), "near-told")
+    found = spread_lookup(with_buckets.select("id", "hash"), told, "hash", "rows")
+    best = F.col("first.id")
     return found.select(
         F.col("id").alias(id_col),
-        "node",
-        F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("first.id")).alias("class_id"),
+        F.col("hash").alias("node"),
+        F.when(F.col("hash").isNull(), F.col("id")).otherwise(best["id"]).alias("class_id"),
         F.coalesce("class_size", F.lit(1)).alias("class_size"),
-        F.coalesce(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("node") == F.col("first.node")), F.lit(True)).alias("first"),
+        F.coalesce(F.col("id").eqNullSafe(best["id"]) & (F.col("hash") == F.col("first.node")), F.lit(True)).alias("first"),
     )
 
 
