@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gleanspark.session import ship
+
 UNIT = 192
 #: Fixed values of the standard: kbit/s by (MPEG-1?, layer), and sample rates of MPEG-1.
 KBITS = {
@@ -245,6 +247,7 @@ INFO = "frames:long,samples:long,rate:int,delay:int,padding:int,crc_ok:long,crc_
 
 def _per_row(df: DataFrame, column: str, out: str, kind: str, arrow: pa.DataType, f) -> DataFrame:  # noqa: ANN001
     """df with out = f(column), by Arrow batches; an older column of that name is replaced."""
+    ship(df.sparkSession)
     kept = [c for c in df.columns if c.lower() != out.lower()]
     rows = df.select(F.struct(*kept).alias("row"), F.col(column).alias("value"))
 

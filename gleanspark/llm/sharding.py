@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleanspark.session import materialize
+from gleanspark.session import materialize, ship
 
 GROUP_BITS, ROW_BITS = 39, 24
 
@@ -35,6 +35,7 @@ def order_key(group: Column, row: Column) -> Column:
 
 def bytes_between(keyed: DataFrame, probes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and rows in each of the len(probes)+1 gaps, exactly; a gap holds the keys from its probe on."""
+    ship(keyed.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size, rows = np.zeros(len(probes) + 1, dtype=np.int64), np.zeros(len(probes) + 1, dtype=np.int64)
