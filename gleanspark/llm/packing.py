@@ -5,8 +5,8 @@ Method: a document's ids are cut at every ``capacity``; only the histogram of pi
 each into the packs with the most room, as counts of packing patterns. The patterns go back as ranges of
 ranks per length, and each piece, ranked among the pieces of its length, finds its sequence and offset by
 one join with that table. Ranks are counted per (length, salt) and shifted by the salts before, so a length
-that a third of all pieces share is not one task's work. Lengths are counted on pieces without ids; then the texts
-are tokenised again and the ids travel with their pieces through the ranks to their sequence, at 16 bits each where
+that a third of all pieces share is not one task's work. Lengths are counted first, without gathering ids; then the texts
+are tokenised and the ids travel with their pieces through the ranks to their sequence, at 16 bits each where
 the vocabulary allows it, so that they are never stored in between. :func:`sequences` places them and pads.
 
 Tokens: :class:`WordBpe` gives the ids of a word-level BPE file of the tokenizers library. Per chunk of
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleanspark.session import materialize
+from gleanspark.session import materialize, ship
 
 CHUNK_CHARS = 10_000_000
 FAST_LIMIT = 0x180
@@ -96,8 +96,8 @@ class WordBpe:
             starts[after] = kind[after] != SPACE
         return starts
 
-    def _fast(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Flat ids, and for each text the place behind its last id."""
+    def _coded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ranks of the distinct words' tokens; for each word where its own begin and how many they are; for each text the place behind its last id."""
         chars = self.lower[np.frombuffer((" ".join(texts) + " ").encode("utf-16-le"), dtype=np.uint16)]
         kind = self.kind[chars]
         starts = self._starts(chars, kind)
@@ -118,10 +118,14 @@ class WordBpe:
         behind = np.flatnonzero(self.last[ranks]) + 1 if len(ranks) else ranks
         first = np.concatenate(([0], behind[:-1])) if len(behind) else behind
         lengths = (behind - first)[place] if len(place) else np.zeros(0, dtype=np.int64)
-        until = np.cumsum(lengths)
-        flat = self.ids[ranks[np.repeat(first[place] - (until - lengths), lengths) + np.arange(until[-1] if len(until) else 0)]]
         words_by = np.cumsum(np.add.reduceat(ends, np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts])[:-1])), dtype=np.int64))
-        return flat, np.concatenate(([0], until))[words_by]
+        return ranks, first[place], lengths, np.concatenate(([0], np.cumsum(lengths)))[words_by]
+
+    def _fast(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids, and for each text the place behind its last id."""
+        ranks, first, lengths, behind = self._coded(texts)
+        until = np.cumsum(lengths)
+        return self.ids[ranks[np.repeat(first - (until - lengths), lengths) + np.arange(until[-1] if len(until) else 0)]], behind
 
     def _plain(self, text: str) -> bool:
         """True if the fast way gives the library's ids."""
@@ -133,13 +137,28 @@ class WordBpe:
         except UnicodeEncodeError:
             return max(text) < chr(FAST_LIMIT) and "İ" not in text
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text (uint32), as encode(text, add_special_tokens=False) gives them."""
-        out: list[np.ndarray] = [np.zeros(0, dtype=np.uint32)] * len(texts)
+    def _ways(self, texts: list[str]) -> tuple[list[int], list[int]]:
+        """Places of the texts that go the fast way, and of those that don't; empty ones are in neither."""
         fast, slow = [], []
         for i, t in enumerate(texts):
             if t:
                 (fast if self._plain(t) else slow).append(i)
+        return fast, slow
+
+    def counts(self, texts: list[str]) -> np.ndarray:
+        """How many ids each text has."""
+        out = np.zeros(len(texts), dtype=np.int64)
+        fast, slow = self._ways(texts)
+        if fast:
+            out[fast] = np.diff(self._coded([texts[i] for i in fast])[3], prepend=0)
+        for i in slow:
+            out[i] = len(self.whole.encode(texts[i], add_special_tokens=False).ids)
+        return out
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text (uint32), as encode(text, add_special_tokens=False) gives them."""
+        out: list[np.ndarray] = [np.zeros(0, dtype=np.uint32)] * len(texts)
+        fast, slow = self._ways(texts)
         if fast:
             flat, ends = self._fast([texts[i] for i in fast])
             for i, part in zip(fast, np.split(flat, ends[:-1]), strict=True):
@@ -167,6 +186,7 @@ def chunks(texts: list[str | None], most: int = CHUNK_CHARS) -> Iterator[tuple[i
 
 def tokenize(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, capacity: int = 4096, kind_of_id: str = "<u4") -> DataFrame:
     """One row per piece: id, start, length, ids (little-endian uint32, or as kind_of_id says), doc_tokens."""
+    ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = word_bpe(tokenizer)
@@ -192,6 +212,21 @@ def tokenize(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col:
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, start long, length long, ids binary, doc_tokens long")
 
 
+def piece_lengths(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 4096) -> DataFrame:
+    """One row per piece, as :func:`tokenize` cuts them, without ids: id, start, length, doc_tokens."""
+    ship(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = word_bpe(tokenizer)
+        for batch in batches:
+            for at, part in chunks(batch.column(1).to_pylist()):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), pa.array(bpe.counts(part) + 1)], names=[id_col, "doc_tokens"])
+
+    counted = docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, doc_tokens long")
+    starts = counted.select(id_col, F.explode(F.sequence(F.lit(0).cast("long"), F.col("doc_tokens") - 1, F.lit(capacity).cast("long"))).alias("start"), "doc_tokens")
+    return starts.withColumn("length", F.least(F.col("doc_tokens") - F.col("start"), F.lit(capacity)))
+
+
 def shortest_pack_first(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[tuple[int, int], ...], int]]:
     """Patterns ((length, times), ...) with their counts: lengths longest first, each into the packs with most room.
 
@@ -236,10 +271,11 @@ def pattern_rows(patterns: list[tuple[tuple[tuple[int, int], ...], int]]) -> lis
     return rows
 
 
-def pack(pieces: DataFrame, order: list[str], length_col: str = "length", capacity: int = 4096, rows_per_salt: int = 500_000, least_salts: int = 64, wide: DataFrame | None = None, tokens_per_salt: int = 4_000_000) -> DataFrame:
+def pack(pieces: DataFrame, order: list[str], length_col: str = "length", capacity: int = 4096, rows_per_salt: int = 500_000, least_salts: int = 64, wide: DataFrame | None = None, ties: list[str] | None = None, tokens_per_salt: int = 4_000_000) -> DataFrame:
     """pieces (lengths 1 to capacity) with sequence_id and offset. ``order`` ranks pieces of one length; pieces should be a written table.
 
     wide: the same rows with further columns, which are placed in their stead; a salt then holds tokens_per_salt tokens of a length at most.
+    ties: columns of the rows placed that rank those which are equal in ``order``.
     """
     spark = pieces.sparkSession
     by_length = {r[0]: r[1] for r in pieces.groupBy(length_col).count().collect()}  # at most ``capacity`` rows
@@ -253,7 +289,7 @@ def pack(pieces: DataFrame, order: list[str], length_col: str = "length", capaci
         "shift", F.sum("count").over(Window.partitionBy(length_col).orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))
     )
     shifts = shifts.select(length_col, "salt", F.coalesce("shift", F.lit(0)).alias("shift"))
-    local = F.row_number().over(Window.partitionBy(length_col, "salt").orderBy(*order)) - 1
+    local = F.row_number().over(Window.partitionBy(length_col, "salt").orderBy(*order, *(ties or []))) - 1
     ranked = salted.withColumn("local", local).join(shifts, [length_col, "salt"]).withColumn("rank", F.col("local") + F.col("shift"))
     table = spark.createDataFrame(rules or [], "rule_length long, low long, high long, times long, first_sequence long, first_offset long")
     # The table's size is bounded by the number of lengths, not by the corpus.
@@ -320,8 +356,8 @@ def sequences(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col:
     """
     kind_of_id = "<u2" if max(end_id, int(word_bpe(tokenizer).ids.max()), word_bpe(tokenizer).whole.get_vocab_size()) < 1 << 16 else "<u4"
     wide = tokenize(docs, tokenizer, id_col, text_col, end_id, capacity, kind_of_id).withColumn("ids_hash", F.xxhash64("ids"))
-    order = [id_col, "start", "ids_hash", "doc_tokens"]
-    placed = pack(materialize(wide.select(*order, "length"), "pieces"), order, "length", capacity, wide=wide)
+    pieces = materialize(piece_lengths(docs, tokenizer, id_col, text_col, capacity), "pieces")
+    placed = pack(pieces, [id_col, "start", "doc_tokens"], "length", capacity, wide=wide, ties=["ids_hash"])
     return assembled(placed, id_col, capacity, end_id if pad_id is None else pad_id, kind_of_id)
 
 
