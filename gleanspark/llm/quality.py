@@ -9,7 +9,8 @@ classifier's sample. Scoring covers every row and whole texts.
 
 Defined cases: a null text is scored as the empty text; ids labelled more than once count once, with the smaller label; null labels
 and ids are not learned from; with labels of one kind only, or none, the score is that kind's share (0.5 without any); ties and
-repeated rows are scored alike; an empty table gives an empty result; other columns pass through ``score``.
+repeated rows are scored alike; an empty table gives an empty result; very long texts are scored whole; other columns pass through
+``score``, but those named as its two results are replaced.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 from gleanspark.session import materialize
 
 MAX_FIT_ROWS = 20_000
+FIT_TASKS = 4
 Condition = tuple[str, bool, float]  # statistic, True for <=, threshold
 
 
@@ -80,7 +82,7 @@ def _paths(node, names: list[str], so_far: tuple[Condition, ...] = ()) -> list[t
     return found
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_fit_rows: int = MAX_FIT_ROWS, trees: int = 20, depth: int = 3, lasso: float = 0.002, seed: int = 1) -> RuleModel:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_fit_rows: int = MAX_FIT_ROWS, trees: int = 20, depth: int = 3, lasso: float = 0.002, tolerance: float = 1e-4, seed: int = 1) -> RuleModel:
     """Learn label_col (0 or 1) of ``labels`` from the texts of ``docs``."""
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).cast("double").alias("label"))
     sample = known.orderBy(F.xxhash64("id"), "id").limit(max_fit_rows)
@@ -92,7 +94,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if ones in (0, n):
         share = (ones + 0.5) / (n + 1)
         return RuleModel(math.log(share / (1 - share)), ())
-    rows = VectorAssembler(inputCols=names, outputCol="stats").transform(rows)
+    rows = VectorAssembler(inputCols=names, outputCol="stats").transform(rows.coalesce(FIT_TASKS))  # max_fit_rows rows at most, in many small steps
     forest = RandomForestClassifier(featuresCol="stats", labelCol="label", numTrees=trees, maxDepth=depth, featureSubsetStrategy="onethird", minInstancesPerNode=5, seed=seed).fit(rows)
     rules = sorted({p for tree in forest.trees for p in _paths(tree._call_java("rootNode"), names)})
     if not rules:
@@ -107,7 +109,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     matrix = rows.select("label", *[holds(r).alias(f"r{i}") for i, r in enumerate(rules)])
     matrix = VectorAssembler(inputCols=[f"r{i}" for i in range(len(rules))], outputCol="rules").transform(matrix).select("label", "rules").cache()
     try:
-        linear = LogisticRegression(featuresCol="rules", labelCol="label", elasticNetParam=1.0, regParam=lasso, maxIter=100).fit(matrix)
+        linear = LogisticRegression(featuresCol="rules", labelCol="label", elasticNetParam=1.0, regParam=lasso, maxIter=100, tol=tolerance).fit(matrix)
     finally:
         matrix.unpersist()
     weights = linear.coefficients.toArray()
@@ -118,5 +120,6 @@ def score(docs: DataFrame, model: RuleModel, text_col: str = "text", score_col:
     """docs with score_col (0 to 1) and predicted_col (1 from 0.5 on)."""
     kept = [c for c in docs.columns if c.lower() not in (score_col.lower(), predicted_col.lower())]
     stats = docs.select(F.struct(*kept).alias("row"), *[c.cast("double").alias(k) for k, c in statistics(F.col(text_col)).items()])
-    scored = stats.select("row", model.column().alias("quality_score"))
+    # A generator of one row is a fence: a later filter on the score doesn't compute the statistics again for each rule.
+    scored = stats.select("row", F.explode(F.array(model.column())).alias("quality_score"))
     return scored.select(*[F.col("row").getField(c).alias(c) for c in kept], F.col("quality_score").alias(score_col), (F.col("quality_score") >= 0.5).cast("int").alias(predicted_col))
