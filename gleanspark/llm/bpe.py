@@ -3,15 +3,16 @@
 Method. Spark splits texts into words with the pre-tokenizer's pattern, counts them, and each distinct
 word is encoded once:
 
-* the ``table_words`` most frequent words form the distinct-word table. Its size is bounded by that number
-  and by ``table_chars`` per word, so that it is broadcast; in running text it holds nearly all occurrences;
+* the most frequent words, at most ``table_words``, form the distinct-word table: those whose count reaches a threshold, which
+  a histogram of the counts gives. Its size is bounded by that number and by ``table_chars`` per word, so that it is
+  broadcast; in running text it holds nearly all occurrences;
 * every other word is rare by construction. Rare words of a block of documents are made distinct again and
   encoded once per block, since sending each of their few occurrences to a shuffled table and back by
   position would move more than the texts themselves (README has the figures).
 
 Ids go back by position: each word of a text looks its ids up at its own place, and the id runs are
-concatenated in that order. Decoding joins each id with the id-to-piece table (as large as the
-vocabulary, thus bounded), concatenates the pieces' bytes in order and reads them as UTF-8, with U+FFFD for
+concatenated in that order. Decoding joins each id with the id-to-piece table: as that is as large as the
+vocabulary, thus bounded, and its keys are 0 to n - 1, the join is a gather in each task instead of a row per id. It concatenates the pieces' bytes in order and reads them as UTF-8, with U+FFFD for
 what is not valid, as the tokenizers library does.
 
 Java's and the library's Unicode tables differ only in code points that Java calls unassigned; texts with
@@ -26,7 +27,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,12 +36,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanspark.llm.packing import byte_alphabet
-from gleanspark.session import materialize
+from gleanspark.session import materialize, ship
 
 #: Fixed value: the pre-tokenizer's pattern, with its white space written out for Java.
 SPACE = r"\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
-BLOCK_BYTES = 8_000_000
+BLOCK_BYTES = 3_000_000
 
 
 class ByteBpe:
@@ -48,22 +49,26 @@ class ByteBpe:
 
     def __init__(self, path: str) -> None:
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.whole = Tokenizer.from_file(path)
-        self.whole.no_truncation()
-        self.whole.no_padding()
+        self.path = path
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         letters = byte_alphabet()
         self.specials = [t["content"] for t in spec["added_tokens"]]
-        known = {i: bytes(letters[c] for c in t) for t, i in spec["model"]["vocab"].items()}
-        known |= {t["id"]: t["content"].encode() for t in spec["added_tokens"]}
         merged = {bytes(letters[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in self.specials}
         #: Words between NULs; each NUL is an id of its own.
         self.batch = tiktoken.Encoding("batch", pat_str=r"[^\x00]+|\x00", mergeable_ranks=merged, special_tokens={})
         self.nul = merged[b"\0"]
-        self.pieces = pa.array([known.get(i, b"") for i in range(max(known) + 1)], pa.large_binary())
+
+    @cached_property
+    def whole(self):  # noqa: ANN201
+        """The library's own tokenizer; few blocks need it, and it takes memory."""
+        from tokenizers import Tokenizer
+
+        whole = Tokenizer.from_file(self.path)
+        whole.no_truncation()
+        whole.no_padding()
+        return whole
 
     def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of words and how many each has; a word is one match of the pre-tokenizer, or a special token."""
@@ -94,6 +99,17 @@ def byte_bpe(path: str) -> ByteBpe:
     return ByteBpe(path)
 
 
+@lru_cache(maxsize=2)
+def pieces(path: str) -> pa.Array:
+    """The bytes of each id."""
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    letters = byte_alphabet()
+    known = {i: bytes(letters[c] for c in t) for t, i in spec["model"]["vocab"].items()}
+    known |= {t["id"]: t["content"].encode() for t in spec["added_tokens"]}
+    return pa.array([known.get(i, b"") for i in range(max(known) + 1)], pa.large_binary())
+
+
 def split_words(text: Column, specials: list[str]) -> Column:
     """The text's words in order. Special tokens are cut out first, as the library does."""
     plain = F.regexp_extract_all(text, F.lit(WORDS), F.lit(0))
@@ -113,12 +129,19 @@ def unsure(text: Column) -> Column:
 
 
 def word_table(docs: DataFrame, tokenizer: str, text_col: str = "text", table_words: int = 300_000, table_chars: int = 64) -> DataFrame:
-    """(word, ids): the most frequent distinct words, each encoded once."""
+    """(word, ids): the most frequent distinct words, each encoded once. Words of one size class of counts are all in it, or none."""
+    ship(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     specials = byte_bpe(tokenizer).specials
     words = docs.where(~unsure(text)).select(F.explode(split_words(text, specials)).alias("word"))
     counts = words.groupBy("word").count().where((F.char_length("word") <= table_chars) & (F.col("count") > 1))
-    frequent = counts.orderBy(F.desc("count"), "word").limit(table_words).select("word")
+    counts = materialize(counts.select("word", F.floor(F.log2("count") * 64).cast("int").alias("size_class")), "word-counts")
+    room, least = table_words, 1 << 30
+    for row in counts.groupBy("size_class").count().orderBy(F.desc("size_class")).collect():  # at most 64 classes per power of two
+        if (room := room - row[1]) < 0:
+            break
+        least = row.size_class
+    frequent = counts.where(F.col("size_class") >= least).select("word")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = byte_bpe(tokenizer)
@@ -127,8 +150,7 @@ def word_table(docs: DataFrame, tokenizer: str, text_col: str = "text", table_wo
             ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)), pa.array(flat))
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=["word", "ids"])
 
-    spread = frequent.repartition(F.col("word"))
-    return materialize(spread.mapInArrow(run, "word string, ids array<int>"), "word-table")
+    return materialize(frequent.mapInArrow(run, "word string, ids array<int>"), "word-table")
 
 
 def _ragged(values: np.ndarray, first: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -223,12 +245,13 @@ def _blocks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 def decode(docs: DataFrame, tokenizer: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
     """docs with ``out``: the text of ids_col (array<int>, or packed binary; null: empty), special tokens included."""
+    ship(docs.sparkSession)
     kept = [c for c in docs.columns if c.lower() != out.lower()]
     rows = docs.select(F.struct(*kept).alias("row"))
     at = kept.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = byte_bpe(tokenizer).pieces
+        known = pieces(tokenizer)
         for batch in batches:
             for part in _blocks(batch):
                 column = part.column(0).flatten()[at]
@@ -237,7 +260,7 @@ def decode(docs: DataFrame, tokenizer: str, ids_col: str = "ids", out: str = "de
                 else:
                     lists = [np.array(v.as_py() or [], dtype=np.int64) for v in column]
                 borders = np.cumsum([0] + [len(x) for x in lists])
-                joined = pieces.take(pa.array(np.concatenate(lists).astype(np.int64)))  # the join by id; its bytes lie in the order of the ids
+                joined = known.take(pa.array(np.concatenate(lists).astype(np.int64)))  # the join by id; its bytes lie in the order of the ids
                 ends = np.frombuffer(joined.buffers()[1], dtype=np.int64, count=len(joined) + 1) if len(joined) else np.zeros(1, np.int64)
                 data = memoryview(joined.buffers()[2]) if len(joined) else b""
                 texts = [str(data[a:b], "utf-8", "replace") for a, b in zip(ends[borders[:-1]], ends[borders[1:]], strict=True)]
