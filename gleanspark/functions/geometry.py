@@ -86,10 +86,28 @@ def padded_box(x: Column, y: Column, w: Column, h: Column, pad: float = 0.35, le
 
 
 def letterbox(src_w: Column, src_h: Column, out_w: Column, out_h: Column) -> dict[str, Column]:
-    """Where a picture lies in a frame that it is fitted into."""
+    """Where a picture lies in a frame that it is fitted into; the whole frame if a side is missing or 0."""
+    known = F.lit(True)
+    for side in (src_w, src_h, out_w, out_h):
+        known = known & (F.coalesce(side, F.lit(0)) != 0)
     scale = F.least(out_w / src_w, out_h / src_h)
-    w, h = src_w * scale, src_h * scale
-    return {"x": (out_w - w) / 2, "y": (out_h - h) / 2, "w": w, "h": h}
+    w, h = F.when(known, src_w * scale).otherwise(out_w), F.when(known, src_h * scale).otherwise(out_h)
+    return {"x": F.when(known, (out_w - w) / 2).otherwise(0.0), "y": F.when(known, (out_h - h) / 2).otherwise(0.0), "w": w, "h": h}
+
+
+def mapped_box(box: dict[str, Column], frame: dict[str, Column]) -> dict[str, Column]:
+    """A normalised box (x, y, w, h) in the pixels of the frame that :func:`letterbox` gives."""
+    return {"x": frame["x"] + box["x"] * frame["w"], "y": frame["y"] + box["y"] * frame["h"], "w": box["w"] * frame["w"], "h": box["h"] * frame["h"]}
+
+
+def normalised_box(x0: Column, y0: Column, x1: Column, y1: Column, width: Column, height: Column) -> dict[str, Column]:
+    """A cell's box and centroid as shares of its picture."""
+    w, h = F.greatest(width, F.lit(1)), F.greatest(height, F.lit(1))
+    return {"cx": (x0 + x1) / 2 / w, "cy": (y0 + y1) / 2 / h, "x": x0 / w, "y": y0 / h, "w": (x1 - x0) / w, "h": (y1 - y0) / h}
+
+
+def line_midpoint(x0: Column, y0: Column, x1: Column, y1: Column) -> tuple[Column, Column]:
+    return (x0 + x1) / 2, (y0 + y1) / 2
 
 
 def iso6709(value: Column) -> Column:

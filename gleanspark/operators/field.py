@@ -9,10 +9,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanspark.functions import rules
-from gleanspark.functions.geometry import clip
+from gleanspark.functions.geometry import clip, vari
 from gleanspark.operators.grid import cell_of
+from gleanspark.operators.pixels import nearest_line
 
 NON_CROP = ("ROAD_PATH", "TREE_VEGETATION", "WATER", "INFRASTRUCTURE")
+#: Sentences of the brief.
+NOTHING_FOUND = "No significant inspection areas found. The analyzed footage did not show persistent visual differences above the current review threshold."
+HIDDEN_FIELD = "The view may include mostly bare ground, trees, or an angle that hides the field. Try a higher pass or a tighter crop."
 #: Weights of the structural score.
 OCCUPANCY, CONTINUITY, GAP, FRAGMENTS, SOIL = 0.30, 0.25, 0.20, 0.15, 0.10
 
@@ -129,15 +133,15 @@ def limited(visibility: Column, usable: Column, sampled: Column, notes: Column)
 
 
 def brief(frames: Column, seconds: Column, crop: Column, detected: Column, zones: Column, high: Column, place: Column, issue: Column) -> Column:
-    """A run in two or three sentences."""
+    """A run in two or three sentences. The sentences."""
     share, n, s = F.concat(F.round(crop * 100).cast("int").cast("string"), F.lit("%")), frames.cast("string"), F.round(seconds).cast("int").cast("string")
     opener = F.concat(
         F.lit("After "), n, F.lit(" frames ("), s, F.lit("s of flight), estimated crop coverage is about "), share, F.lit(". "), zones.cast("string"), F.lit(" inspection areas may be worth a closer look"),
         F.when(high > 0, F.concat(F.lit(" — "), high.cast("string"), F.lit(" marked high priority"))).otherwise(""), F.lit(". The most notable is in the "), F.initcap(F.replace(place, F.lit("_"), F.lit(" "))), F.lit(" area ("), issue,
         F.lit("). These are image-based differences for review, not diagnoses of crop health, yield, or planting failure."),
     )
-    nothing = F.concat(F.lit("No significant inspection areas found. Estimated crop coverage in the analyzed area: "), share, F.lit("."))
-    unseen = F.concat(F.lit("We reviewed "), n, F.lit(" frames from a "), s, F.lit("s clip but could not estimate a clear analysis field boundary."))
+    nothing = F.concat(F.lit(f"{NOTHING_FOUND} Estimated crop coverage in the analyzed area: "), share, F.lit("."))
+    unseen = F.concat(F.lit("We reviewed "), n, F.lit(" frames from a "), s, F.lit(f"s clip but could not estimate a clear analysis field boundary. {HIDDEN_FIELD}"))
     return F.when(~detected, unseen).when(zones == 0, nothing).otherwise(opener)
 
 
@@ -146,6 +150,48 @@ def highest_priority(level: Column) -> Column:
     return F.max_by(level, rules.priority_rank(level))
 
 
+def observation(pixels: DataFrame, keys: list[str]) -> DataFrame:
+    """keys... and a frame's shadow measurement over its field pixels (b, g, r, label, in_field, occupancy); null for frames without field.
+
+    exg_mean, vari_mean, crop_occupancy, soil_fraction, understory_fraction, vegetated_soil_of_field.
+    """
+    inside = lambda c: F.avg(F.when(F.col("in_field"), c))
+    exg = (2 * F.col("g") - F.col("r") - F.col("b")) / 255.0
+    means = pixels.groupBy(*keys).agg(
+        F.count_if("in_field").alias("_field"), inside(exg).alias("exg_mean"), inside(vari(F.col("b"), F.col("g"), F.col("r"))).alias("vari_mean"), inside(F.col("occupancy")).alias("crop_occupancy")
+    )
+    rows = means.join(understory(pixels, keys), keys)
+    values = [c for c in rows.columns if c not in (*keys, "_field")]
+    return rows.select(*keys, *[F.when(F.col("_field") > 0, F.col(c)).alias(c) for c in values])
+
+
+def inter_row(pixels: DataFrame, lines: DataFrame, keys: list[str], half_width: float = 15.0) -> DataFrame:
+    """keys..., shares of row bands and of what lies between rows, vegetation among the latter and over all. Units without lines give no row.
+
+    pixels: keys..., x, y, b, g, r of units; lines: keys..., angle, offset.
+    """
+    marked = nearest_line(pixels.join(lines.select(*keys).distinct(), keys, "left_semi"), lines, keys, half_width)
+    between = F.col("line_offset").isNull()
+    green = (2 * F.col("g") - F.col("r") - F.col("b")) / 255.0 > 0.05
+    share = lambda c: F.avg(c.cast("double"))
+    among = F.coalesce(F.avg(F.when(between, green.cast("double"))), F.lit(0.0))
+    return marked.groupBy(*keys).agg(share(~between).alias("row_band_fraction"), share(between).alias("inter_row_fraction"), among.alias("inter_row_vegetation"), share(between & green).alias("visible_inter_row_vegetation"))
+
+
+def unit_pixels(pixels: DataFrame, cells: DataFrame, keys: list[str], height: int, width: int, rows: int = 8, cols: int = 8) -> DataFrame:
+    """The field pixels of units' cells (keys..., row, col, unit), with their unit; crop_pixel marks those of crop."""
+    placed = pixels.withColumn("row", cell_of(F.col("y"), height, rows)).withColumn("col", cell_of(F.col("x"), width, cols))
+    inside = placed.where("in_field").join(cells.select(*keys, "row", "col", "unit"), [*keys, "row", "col"])
+    return inside.withColumn("crop_pixel", F.col("label") == "CROP")
+
+
+def with_row_angle(cells: DataFrame, units: DataFrame, frames: DataFrame, keys: list[str]) -> DataFrame:
+    """cells with row_angle: their unit's, or where that has none, their frame's. units: keys..., unit, angle; frames: keys..., angle."""
+    own = units.select(*keys, "unit", F.col("angle").alias("_unit"))
+    whole = frames.select(*keys, F.col("angle").alias("_frame"))
+    return cells.join(own, [*keys, "unit"], "left").join(whole, keys, "left").withColumn("row_angle", F.coalesce("_unit", "_frame")).drop("_unit", "_frame")
+
+
 def understory(pixels: DataFrame, keys: list[str]) -> DataFrame:
     """Shares of soil, of vegetated soil in soil, and of vegetated soil in the field."""
     f = F.col("in_field")
@@ -177,7 +223,7 @@ def with_default_frames(runs: DataFrame, frames: DataFrame, run: str = "run_id",
 
 def artifact_name(index: Column, kind: str = "frame") -> Column:
     """frame_0007.jpg: a zero-padded index."""
-    return F.concat(F.lit(f"{kind}_"), F.lpad(index.cast("string"), 4, "0"), F.lit(".jpg"))
+    return F.format_string(f"{kind}_%04d.jpg", index)
 
 
 def source_rate(fps: Column) -> Column:

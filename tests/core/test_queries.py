@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
+from gleanspark.plans import field_queries  # noqa: F401
 from gleanspark.plans.queries import ORACLE_SQL, QUERIES
 from tests.oracle import compare, connect
 
