@@ -24,7 +24,7 @@ import heapq
 import json
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from gleanspark.session import materialize, ship
 
-CHUNK_CHARS = 10_000_000
+CHUNK_CHARS = 3_000_000
 FAST_LIMIT = 0x180
 SPACE, LETTER, NUMBER, OTHER = range(4)
 #: The contractions that the pre-tokenizer splits off, and what it holds to be white space below U+0180.
@@ -53,11 +53,8 @@ class WordBpe:
 
     def __init__(self, path: str) -> None:
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.whole = Tokenizer.from_file(path)
-        self.whole.no_truncation()
-        self.whole.no_padding()
+        self.path = path
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
@@ -80,6 +77,16 @@ class WordBpe:
         kinds = [SPACE if i in SPACES else LETTER if c.isalpha() else NUMBER if c.isnumeric() else OTHER for i, c in enumerate(chars)]
         self.kind = np.array(kinds, dtype=np.uint8)
 
+    @cached_property
+    def whole(self):  # noqa: ANN201
+        """The library's own tokenizer; few texts need it, and it takes memory."""
+        from tokenizers import Tokenizer
+
+        whole = Tokenizer.from_file(self.path)
+        whole.no_truncation()
+        whole.no_padding()
+        return whole
+
     def _starts(self, chars: np.ndarray, kind: np.ndarray) -> np.ndarray:
         """True where a word begins. The last character is a space."""
         before = np.concatenate(([SPACE], kind[:-1]))
@@ -114,10 +121,10 @@ class WordBpe:
         offsets = np.concatenate(([0], borders)).astype(np.int32)
         words = pa.StringArray.from_buffers(len(borders), pa.py_buffer(offsets), pa.py_buffer(data)).dictionary_encode()
         place = words.indices.to_numpy(zero_copy_only=False)
-        ranks = np.array(self.words.encode_ordinary("".join(words.dictionary.to_pylist())), dtype=np.int64)
-        behind = np.flatnonzero(self.last[ranks]) + 1 if len(ranks) else ranks
-        first = np.concatenate(([0], behind[:-1])) if len(behind) else behind
-        lengths = (behind - first)[place] if len(place) else np.zeros(0, dtype=np.int64)
+        ranks = np.array(self.words.encode_ordinary("".join(words.dictionary.to_pylist())), dtype=np.int32)
+        behind = (np.flatnonzero(self.last[ranks]) + 1 if len(ranks) else ranks).astype(np.int32)
+        first = np.concatenate((np.zeros(1, dtype=np.int32), behind[:-1])) if len(behind) else behind
+        lengths = (behind - first)[place] if len(place) else np.zeros(0, dtype=np.int32)
         words_by = np.cumsum(np.add.reduceat(ends, np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts])[:-1])), dtype=np.int64))
         return ranks, first[place], lengths, np.concatenate(([0], np.cumsum(lengths)))[words_by]
 
@@ -125,7 +132,9 @@ class WordBpe:
         """Flat ids, and for each text the place behind its last id."""
         ranks, first, lengths, behind = self._coded(texts)
         until = np.cumsum(lengths)
-        return self.ids[ranks[np.repeat(first - (until - lengths), lengths) + np.arange(until[-1] if len(until) else 0)]], behind
+        place = np.repeat(first - (until - lengths).astype(np.int32), lengths)
+        place += np.arange(len(place), dtype=np.int32)
+        return self.ids[ranks[place]], behind
 
     def _plain(self, text: str) -> bool:
         """True if the fast way gives the library's ids."""
