@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanspark.functions.geometry import clip
+from gleanspark.operators.quantiles import exact_quantiles, medians
 
 MAD_SCALE = 1.4826
 
@@ -21,8 +22,8 @@ def robust_zs(df: DataFrame, values: dict[str, float], keys: list[str], valid: C
     """
     ok = F.coalesce(valid, F.lit(False)) if valid is not None else F.lit(True)
     x = {c: F.when(ok, F.col(c)) for c in values}
-    centred = df.join(df.groupBy(*keys).agg(*[F.median(x[c]).alias(f"_med_{c}") for c in values]), keys, "left")
-    mads = centred.groupBy(*keys).agg(*[F.median(F.abs(x[c] - F.col(f"_med_{c}"))).alias(f"_mad_{c}") for c in values])
+    centred = df.join(medians(df, keys, {f"_med_{c}": x[c] for c in values}), keys, "left")
+    mads = medians(centred, keys, {f"_mad_{c}": F.abs(x[c] - F.col(f"_med_{c}")) for c in values})
     scores = {}
     for c, floor in values.items():
         scale = MAD_SCALE * F.greatest(F.col(f"_mad_{c}"), F.lit(floor))
@@ -75,8 +76,8 @@ def median_vector(df: DataFrame, vector: str, keys: list[str] | None = None) ->
     """The component-wise median of non-zero vectors, at unit length: keys..., baseline array<double>."""
     keys = keys or []
     values = df.select(*keys, F.posexplode(F.transform(vector, lambda x: x.cast("double"))).alias("_i", "_x"), F.exists(vector, lambda x: x != 0).alias("_any"))
-    medians = values.where("_any").groupBy(*keys, "_i").agg(F.median("_x").alias("_x"))
-    packed = medians.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_x"))), lambda s: s["_x"]).alias("_v"))
+    middle = medians(values.where("_any"), [*keys, "_i"], {"_x": F.col("_x")})
+    packed = middle.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_x"))), lambda s: s["_x"]).alias("_v"))
     length = F.sqrt(F.aggregate("_v", F.lit(0.0), lambda s, x: s + x * x)) + 1e-8
     return packed.withColumn("_l", length).select(*keys, F.transform("_v", lambda x: x / F.col("_l")).alias("baseline"))
 
@@ -85,7 +86,8 @@ def group_quartiles(df: DataFrame, group: Column, value: Column, name: str = "gr
     """Count, median and interpolated quartiles per group; a null group is 'ungrouped'."""
     x = F.coalesce(value, F.lit(0.0))
     rows = df.select(F.coalesce(group, F.lit("ungrouped")).alias(name), x.alias("x"))
-    return rows.groupBy(name).agg(F.count("*").alias("n"), F.median("x").alias("median"), F.percentile("x", 0.25).alias("q1"), F.percentile("x", 0.75).alias("q3"))
+    found = rows.groupBy(name).agg(F.count("*").alias("n")).join(exact_quantiles(rows, [name], F.col("x"), [0.5, 0.25, 0.75]), name)
+    return found.select(name, "n", *[F.col("q")[i].alias(part) for i, part in enumerate(("median", "q1", "q3"))])
 
 
 def spacings(df: DataFrame, keys: list[str], position: str) -> DataFrame:
