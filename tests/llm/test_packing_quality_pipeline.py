@@ -1,6 +1,9 @@
 """op9, op10 and the pipeline's stages."""
 
+import math
 import random
+import re
+import string
 import zlib
 from collections import Counter, defaultdict
 
@@ -132,3 +135,91 @@ def test_pii_stage_redacts(spark):
     docs = spark.createDataFrame([(1, "write me@ex.org", "en", "s", 15), (2, None, "en", "s", 0), (3, "clean", "en", "s", 99)], "doc_id long, text string, lang string, source string, n_chars long")
     got = {r.doc_id: r for r in corpus_pipeline.pii_stage(spark, docs, SF).collect()}
     assert got[1].text == "write [EMAIL]" and got[1].n_chars == 13 and got[2].text is None and got[3].n_chars == 99
+
+
+def plain_statistics(text):
+    """The classifier's statistics in plain Python."""
+    words, lines = re.split(r"[ \t\n\x0b\f\r]+", text), text.split("\n")
+    tokens = [w for w in words if w]
+    n = max(len(text), 1)
+    share = lambda marks: sum(c in marks for c in text) / n
+    stutter = sum(a == b for a, b in zip(tokens, tokens[1:]))
+    return {
+        "log_chars": math.log1p(len(text)),
+        "symbols": share("#$%&*|<>{}~^\\"),
+        "marks": share("!?"),
+        "stops": share(".,;:"),
+        "upper": share(string.ascii_uppercase),
+        "digits": share(string.digits),
+        "word_chars": len(text) / len(words),
+        "line_chars": len(text) / len(lines),
+        "stutter": stutter / len(words),
+        "distinct_lines": len(set(lines)) / len(lines),
+    }
+
+
+def plain_score(model, text):
+    """The rules' weights and the logistic function in plain Python."""
+    stats, total = plain_statistics(text), model.intercept
+    for conditions, weight in model.rules:
+        if all((stats[name] <= threshold) == below for name, below, threshold in conditions):
+            total += weight
+    return 1 / (1 + math.exp(-total))
+
+
+def test_statistics_equal_plain_version(spark):
+    rng = random.Random(8)
+    texts = ["", " ", "a", "a a", "A A a a", "x  x\nx", "#!?.,9", "日本 日本\n\n", "\n\n", "a a" * 3, "word " * 300_000]
+    texts += ["".join(rng.choice("aB  \n\t#9.!日") for _ in range(rng.randrange(60))) for _ in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for row in docs.select("text", *[c.alias(k) for k, c in quality.statistics(docs.text).items()]).collect():
+        for name, want in plain_statistics(row.text).items():
+            assert row[name] == pytest.approx(want, abs=1e-12), (name, row.text[:60])
+
+
+def test_paths_are_those_of_a_tree():
+    class Node:
+        def __init__(self, split=None, left=None, right=None):
+            self._split, self._left, self._right = split, left, right
+
+        def subtreeDepth(self):  # noqa: N802
+            return 0 if self._split is None else 1 + max(self._left.subtreeDepth(), self._right.subtreeDepth())
+
+        def split(self):
+            return self
+
+        def featureIndex(self):  # noqa: N802
+            return self._split[0]
+
+        def threshold(self):
+            return self._split[1]
+
+        def leftChild(self):  # noqa: N802
+            return self._left
+
+        def rightChild(self):  # noqa: N802
+            return self._right
+
+    tree = Node((0, 5.0), Node((0, 2.0), Node(), Node()), Node((1, 1.0), Node(), Node()))
+    want = [
+        (("a", True, 5.0),),
+        (("a", True, 2.0),),  # the tighter of two bounds on one side stays
+        (("a", False, 2.0), ("a", True, 5.0)),
+        (("a", False, 5.0),),
+        (("a", False, 5.0), ("b", True, 1.0)),
+        (("a", False, 5.0), ("b", False, 1.0)),
+    ]
+    assert sorted(quality._paths(tree, ["a", "b"])) == sorted(want)
+
+
+def test_scores_and_quality_stage_equal_plain_version(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet").collect()
+    learnt = [r for r in labels if zlib.crc32(str(r.doc_id).encode()) % 3 != 1]
+    model = quality.fit(docs, spark.createDataFrame(learnt))
+    assert model.rules
+    want = {r.doc_id: plain_score(model, r.text or "") for r in docs.collect()}
+    got = {r.doc_id: r for r in quality.score(docs, model).collect()}
+    assert {i: r.score for i, r in got.items()} == pytest.approx(want, abs=1e-9)
+    kept = {r.doc_id for r in corpus_pipeline.quality_stage(spark, docs, SF).collect()}
+    assert kept == {i for i, s in want.items() if s >= 0.5}
