@@ -253,7 +253,8 @@ class _Search:
         sizes = members.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
         shape = sizes.groupBy("bucket").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
         blocks = lambda n: F.ceil(n / BLOCK).cast("int")
-        rows = members.join(shape.select("bucket", "main", blocks(F.col("all") - F.col("most")).alias("left"), blocks(F.col("all")).alias("right")), "bucket")
+        shape = shape.select("bucket", "main", blocks(F.col("all") - F.col("most")).alias("left"), blocks(F.col("all")).alias("right"), F.col("all").alias("rows"))
+        rows = spread_lookup(members, materialize(shape, "near-shapes"), "bucket", "rows")
         own = lambda n, salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(n)).cast("int")
         every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
         outside = rows.where("comp <> main").select("bucket", "node", "comp", own("left", 0).alias("i"), every("right").alias("j"), F.lit(True).alias("outer"))
