@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanspark.llm import bpe, exact_dedup, language_id, line_dedup, mpeg_audio, near_dedup, packing, pii, quality, sharding
+from gleanspark.llm import bpe, exact_dedup, language_id, line_dedup, mpeg_audio, near_dedup, packing, pii, quality, sharding, whitening
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,6 +122,20 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", F.coalesce(_fold(3) == 1, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    found = whitening.whiten(vectors).select("vec_id", F.col("whitening").alias("w")).select("vec_id", "w", F.posexplode("w.values").alias("at", "whitened"))
+    return found.select(
+        "vec_id",
+        (F.col("at") + 1).alias("component"),
+        "w.n",
+        F.col("w.deviation").try_cast("long").alias("deviation"),
+        "whitened",
+        F.col("w.explained")[F.col("at")].alias("explained"),
+        "w.identity_error",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_near_dedup": op2_near_dedup,
@@ -133,5 +147,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_packing": op9_packing,
     "op10_quality": op10_quality,
+    "op11_whitening": op11_whitening,
 }
 ORACLE_SQL: dict[str, str] = {"op6_exact_dedup": OP6_SQL, "op7_line_dedup": OP7_SQL}
