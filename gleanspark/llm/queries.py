@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanspark.llm import bpe, exact_dedup, language_id, line_dedup, mpeg_audio, near_dedup, packing, pii, quality, sharding, whitening
+from gleanspark.llm import bpe, exact_dedup, importance, language_id, line_dedup, mpeg_audio, near_dedup, packing, pii, quality, sharding, whitening
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,6 +136,41 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    target = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("text")
+    return importance.resample(_documents(spark, sf_dir), target, keep=["doc_id"]).select("doc_id", "importance.*")
+
+
+OP13_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT 0 AS side, nth, unnest(w) AS word FROM (SELECT row_number() OVER () AS nth, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents)
+  UNION ALL
+  SELECT 1, 0, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) FROM benchmark),
+steps AS (  -- the table of the reflected polynomial
+  SELECT i, i AS c, 0 AS k FROM range(256) AS r(i)
+  UNION ALL
+  SELECT i, CASE WHEN c % 2 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, k + 1 FROM steps WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS t FROM steps WHERE k = 8),
+distinct_words AS (SELECT word, hex(encode(word)) AS h, count(*) FILTER (side = 0) AS s, count(*) FILTER (side = 1) AS t FROM words GROUP BY word),
+hashed AS (
+  SELECT word, w.s, w.t, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(len(h) // 2), lambda i: ('0x' || h[2 * i + 1 : 2 * i + 2])::BIGINT)),
+    lambda c, b: xor(c >> 8, crc.t[(xor(c, b) & 255) + 1]))) % 10000 AS bucket
+  FROM distinct_words AS w, crc),
+sums AS (SELECT bucket, sum(s) AS s, sum(t) AS t FROM hashed GROUP BY bucket),
+totals AS (SELECT sum(s) AS s, sum(t) AS t FROM hashed),
+gains AS (
+  SELECT bucket, floor(1000.0::DOUBLE * ln((sums.t + 1)::DOUBLE * (totals.s + 10000)::DOUBLE / ((sums.s + 1)::DOUBLE * (totals.t + 10000)::DOUBLE)))::BIGINT AS gain FROM sums, totals),
+weighed AS (SELECT nth, count(*) AS n, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight FROM words JOIN hashed USING (word) JOIN gains USING (bucket) WHERE side = 0 GROUP BY nth),
+scored AS (
+  SELECT d.doc_id, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + floor(-1000.0::DOUBLE * ln(-ln(
+    (('0x' || sha256('2024:' || coalesce(d.doc_id::VARCHAR, 'null'))[1:8])::BIGINT::DOUBLE + 0.5::DOUBLE) / 4294967296.0::DOUBLE)))::BIGINT AS score
+  FROM (SELECT doc_id, row_number() OVER () AS nth FROM documents) d LEFT JOIN weighed USING (nth)),
+placed AS (SELECT *, n_features >= 20 AS able, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN able AND place <= 10 * (SELECT count(*) FROM scored WHERE n_features >= 20) // 100 THEN place END AS rank FROM placed
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_near_dedup": op2_near_dedup,
@@ -148,5 +183,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_packing": op9_packing,
     "op10_quality": op10_quality,
     "op11_whitening": op11_whitening,
+    "op13_importance": op13_importance,
 }
-ORACLE_SQL: dict[str, str] = {"op6_exact_dedup": OP6_SQL, "op7_line_dedup": OP7_SQL}
+ORACLE_SQL: dict[str, str] = {"op6_exact_dedup": OP6_SQL, "op7_line_dedup": OP7_SQL, "op13_importance": OP13_SQL}

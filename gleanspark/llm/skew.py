@@ -35,4 +35,4 @@ def _filler(rows: DataFrame, key: str) -> Column:
     """A value of the key's type that spreads rows evenly."""
     spread = F.xxhash64(*[F.col(c) for c in rows.columns])
     kind = rows.schema[key].dataType.simpleString()
-    return {"string": F.hex(spread), "binary": F.unhex(F.md5(spread.cast("string")))}.get(kind, spread.cast(kind))
+    return {"string": F.hex(spread), "array<bigint>": F.array(spread), "binary": F.unhex(F.md5(spread.cast("string")))}.get(kind, spread.cast(kind))
