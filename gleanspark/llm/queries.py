@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanspark.llm import bpe, exact_dedup, importance, language_id, line_dedup, mpeg_audio, near_dedup, packing, pii, quality, sharding, whitening
+from gleanspark.llm import bpe, exact_dedup, importance, language_id, line_dedup, mpeg_audio, near_dedup, packing, pii, quality, sharding, substring_dedup, whitening
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,6 +136,25 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring_dedup.substring_dedup(_documents(spark, sf_dir))
+    return kept.select("doc_id", "substring_dedup.*", F.sha2("text", 256).alias("kept_sha256"))
+
+
+OP12_SQL = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS nth, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+windows AS (SELECT nth, unnest(range(1, len(w) - 33)) AS beg FROM d WHERE len(w) >= 35),
+keyed AS (SELECT nth, beg, array_to_string(w[beg : beg + 34], ' ') AS body FROM windows JOIN d USING (nth)),
+repeated AS (SELECT nth, beg FROM keyed QUALIFY count(*) OVER (PARTITION BY body) > 1),
+gone AS (SELECT DISTINCT nth, unnest(range(beg, beg + 35)) AS pos FROM repeated),
+words AS (SELECT doc_id, nth, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM d),
+kept AS (
+  SELECT nth, count(*) AS n_words, count(g.pos) AS n_removed, string_agg(word, ' ' ORDER BY words.pos) FILTER (g.pos IS NULL) AS body
+  FROM words LEFT JOIN gone AS g USING (nth, pos) GROUP BY nth)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(body, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (nth)
+"""
+
+
 def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     target = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("text")
     return importance.resample(_documents(spark, sf_dir), target, keep=["doc_id"]).select("doc_id", "importance.*")
@@ -183,6 +202,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_packing": op9_packing,
     "op10_quality": op10_quality,
     "op11_whitening": op11_whitening,
+    "op12_substring_dedup": op12_substring_dedup,
     "op13_importance": op13_importance,
 }
-ORACLE_SQL: dict[str, str] = {"op6_exact_dedup": OP6_SQL, "op7_line_dedup": OP7_SQL, "op13_importance": OP13_SQL}
+ORACLE_SQL: dict[str, str] = {"op6_exact_dedup": OP6_SQL, "op7_line_dedup": OP7_SQL, "op12_substring_dedup": OP12_SQL, "op13_importance": OP13_SQL}
