@@ -6,8 +6,8 @@ keys of at least ``min_chars`` code points found in ``min_docs`` documents or mo
 everywhere. What stays is joined by ``\\n`` in the old order.
 
 Only hashes, ids and positions are shuffled to count and to find lines; the texts move once, when each meets
-its own list of positions. That list is keyed by document (id and text together), so a hot text is not
-a hot key; counting goes by (hash, id) first, so a hot line isn't one either. The frequent keys are broadcast when
+its own list of positions. That list is keyed by document (id and text together), and rows that repeat one document often are answered where
+they lie (``skew.spread_lookup``), so neither hot texts nor repeated rows are hot keys; counting goes by (hash, id) first, so a hot line isn't one either. The frequent keys are broadcast when
 their counted number is at most ``broadcast_keys`` (16 bytes each), else joined by shuffle.
 
 Defined cases: null and empty texts are one empty line; an empty key is never dropped (``min_chars`` >= 1);
@@ -21,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleanspark.llm.skew import spread_lookup
 from gleanspark.session import materialize
 
 #: The characters stripped from both ends of a line.
@@ -74,7 +75,9 @@ def line_dedup(
     hashed = F.transform(lines_of(text), lambda line: key_hash(line_key(line)))
     hits = docs.select(document_key(ident, text).alias("k"), F.posexplode(hashed).alias("pos", "h")).join(frequent, "h", "left_semi")
     drops = hits.groupBy("k").agg(F.collect_set("pos").alias("drops"))
-    rows = docs.select(F.struct("*").alias("row"), text.alias("body"), document_key(ident, text).alias("k")).join(drops, "k", "left")
+    counts = docs.groupBy(document_key(ident, text).alias("k")).agg(F.count("*").alias("n"))
+    told = materialize(counts.join(drops, "k", "left"), "line-drops")
+    rows = spread_lookup(docs.select(F.struct("*").alias("row"), text.alias("body"), document_key(ident, text).alias("k")), told, "k", "n")
 
     def kept(lines: Column) -> Column:
         places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("drops"))

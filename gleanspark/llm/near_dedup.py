@@ -32,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanspark.llm.skew import spread_lookup
@@ -40,6 +40,7 @@ from gleanspark.session import materialize, ship
 
 BANDS, ROWS, SHINGLE, SIMILAR = 32, 5, 5, 0.8
 BLOCK = 256
+PAIRS = 1_000
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 CHUNK = 1_000_000
 
@@ -182,13 +183,15 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
     """(node, comp) for the nodes of edges(a, b): comp is the smallest node that can be reached. Large and small stars in turn."""
     edges = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), label)
     size = edges.count()
+    least_of = lambda e: e.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
     while size:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("m", "a"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b")).where("a <> b")
-        after = materialize(small.unionByName(least.withColumnRenamed("m", "b")).distinct(), label)
+        least = materialize(least_of(both).withColumn("m", F.least("m", "a")), f"{label}-least")
+        large = spread_lookup(both, least, "a", "n").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = materialize(large, f"{label}-large")
+        least = materialize(least_of(large), f"{label}-least")
+        small = spread_lookup(large, least, "a", "n").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b")).where("a <> b")
+        after = materialize(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), label)
         if after.count() == size and after.exceptAll(edges).isEmpty():
             break
         edges, size = after, after.count()
@@ -210,10 +213,15 @@ class _Search:
 
     def decided(self, pairs: DataFrame) -> DataFrame:
         """Of pairs(a, b, ca, cb) the components (a, b) whose members are similar, by exact Jaccard."""
-        pairs = pairs.where("a <> b").select("a", "b", "ca", "cb").distinct()
-        # b, mostly met once, brings its shingles along; those of a, often a hub, are read where the pairs arrive.
-        with_b = pairs.join(self.shingles.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
-        with_both = with_b.join(self.shingles.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
+        pairs = materialize(pairs.where("a <> b").select("a", "b", "ca", "cb").distinct(), "near-pairs")
+        # A hub's row is copied for every PAIRS of its pairs, so that no task gathers them all; b is met in few pairs (its buckets' hubs or small buckets).
+        parts = pairs.groupBy("a").agg(F.count("*").alias("n")).withColumn("parts", F.ceil(F.col("n") / PAIRS).cast("int"))
+        parts = materialize(parts, "near-hub-parts")
+        dealt = spread_lookup(pairs, parts, "a", "n").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"))
+        hubs = self.shingles.join(parts.select(F.col("a").alias("node"), "parts"), "node")
+        hubs = hubs.select(F.col("node").alias("a"), F.col("shingles").alias("sa"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        with_b = dealt.join(self.shingles.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
+        with_both = with_b.join(hubs, ["a", "part"])
         both = F.size(F.array_intersect("sa", "sb"))
         linked = with_both.where(both / (F.size("sa") + F.size("sb") - both) >= self.threshold)
         return linked.select(F.col("ca").alias("a"), F.col("cb").alias("b"))
@@ -306,12 +314,15 @@ def crowded(members: DataFrame, label: str) -> DataFrame:
     return materialize(spread_lookup(members, materialize(held, "near-held"), "bucket", "count").where("n IS NOT NULL").drop("n"), label)
 
 
-def _gathered(worded: DataFrame, needed: DataFrame, broadcast_nodes: int) -> DataFrame:
-    """number, shingles of the needed nodes: their texts are gathered, once each, and only then cut into shingles."""
-    if needed.count() <= broadcast_nodes:
-        needed = F.broadcast(needed)
+def _gathered(worded: DataFrame, needed: DataFrame, hashes: DataFrame, broadcast_nodes: int) -> DataFrame:
+    """number, shingles of the needed nodes: their texts are gathered, once each, and only then cut into shingles. hashes: (hash) of all rows."""
     texts = worded.where(F.size("words") > 0).select(node_of(F.col("words")).alias("hash"), F.array_join("words", " ").alias("text"))
-    texts = texts.join(needed, "hash").groupBy("number").agg(F.first("text").alias("text"))
+    if needed.count() <= broadcast_nodes:
+        texts = texts.join(F.broadcast(needed), "hash")
+    else:
+        counted = hashes.groupBy("hash").agg(F.count("*").alias("rows")).join(needed, "hash", "left")
+        texts = spread_lookup(texts, materialize(counted, "near-counted"), "hash", "rows").where("number IS NOT NULL")
+    texts = texts.groupBy("number").agg(F.first("text").alias("text"))  # tasks send one of their copies at most
     return materialize(texts.select("number", shingles_of(F.split("text", " ")).alias("shingles")), "near-shingles")
 
 
@@ -333,7 +344,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     met = crowded(with_buckets.where("hash IS NOT NULL").select("hash", F.explode("buckets").alias("bucket")), "near-buckets")
     # Numbers are written down with the hashes, and hold from then on; 53 bits leave room for the rank.
     needed = materialize(met.select("hash").distinct().withColumn("number", F.monotonically_increasing_id()), "near-nodes")
-    ranked = _ranked(_gathered(worded, needed, broadcast_nodes), threshold)
+    ranked = _ranked(_gathered(worded, needed, with_buckets.where("hash IS NOT NULL").select("hash"), broadcast_nodes), threshold)
     names = materialize(needed.join(ranked.select("number", "node"), "number").select("hash", "node"), "near-names")
     search = _Search(ranked.select("node", "shingles"), threshold, small)
     search.settle(crowded(met.join(names, "hash").select("bucket", "node"), "near-members"))
@@ -363,10 +374,13 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def key(ident: Column, node: Column) -> Column:
         return F.unhex(F.md5(F.concat(F.coalesce(ident.cast("string"), F.lit("null")).cast("binary"), F.coalesce(node, F.lit("wordless").cast("binary")))))
 
-    classes = near_classes(docs, id_col, text_col, threshold)
-    firsts = classes.where("first AND node IS NOT NULL").select(key(F.col(id_col), F.col("node")).alias("k")).distinct().withColumn("stays", F.lit(True))
+    classes = near_classes(docs, id_col, text_col, threshold).where("node IS NOT NULL").select(key(F.col(id_col), F.col("node")).alias("k"), "first")
+    told = materialize(classes.groupBy("k").agg(F.count("*").alias("n"), F.max("first").alias("stays")), "near-stays")
     rows = docs.select(F.struct("*").alias("row"), words_of(F.col(text_col)).alias("words"))
     rows = rows.select("row", F.when(F.size("words") > 0, node_of(F.col("words"))).alias("node"))
-    marked = rows.withColumn("k", key(F.col("row").getField(id_col), F.col("node"))).join(firsts, "k", "left").where("stays OR node IS NULL")
-    once = marked.withColumn("nth", F.row_number().over(Window.partitionBy("k").orderBy("k"))).where("nth = 1 OR node IS NULL")
+    keyed = rows.select("row", F.when(F.col("node").isNotNull(), key(F.col("row").getField(id_col), F.col("node"))).alias("k"))
+    staying = spread_lookup(keyed, told, "k", "n").where("stays OR k IS NULL")
+    # Of repeated rows one stays: tasks send one of theirs at most. Wordless rows are groups of their own.
+    own = F.unhex(F.md5(F.concat(F.lit("wordless"), F.monotonically_increasing_id().cast("string"))))
+    once = staying.select("row", F.coalesce("k", own).alias("k")).groupBy("k").agg(F.first("row").alias("row"))
     return once.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

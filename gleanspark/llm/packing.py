@@ -361,12 +361,12 @@ def assembled(placed: DataFrame, id_col: str, capacity: int, pad_id: int, kind_o
 def sequences(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, capacity: int = 4096, pad_id: int | None = None) -> DataFrame:
     """Documents to sequences: sequence_id, n_tokens, ids (``capacity`` little-endian uint32, pad_id or else end_id behind n_tokens), pieces.
 
-    pieces: array of id, start, length, doc_tokens, offset. docs should be a written table, as it is tokenised twice.
+    pieces: array of id, start, length, doc_tokens, offset. Ids are written once, numbered by piece, so that repeated rows and missing ids rank apart.
     """
     kind_of_id = "<u2" if max(end_id, int(word_bpe(tokenizer).ids.max()), word_bpe(tokenizer).whole.get_vocab_size()) < 1 << 16 else "<u4"
-    wide = tokenize(docs, tokenizer, id_col, text_col, end_id, capacity, kind_of_id).withColumn("ids_hash", F.xxhash64("ids"))
-    pieces = materialize(piece_lengths(docs, tokenizer, id_col, text_col, capacity), "pieces")
-    placed = pack(pieces, [id_col, "start", "doc_tokens"], "length", capacity, wide=wide, ties=["ids_hash"])
+    number = "piece" if id_col != "piece" else "piece_"
+    tokens = materialize(tokenize(docs, tokenizer, id_col, text_col, end_id, capacity, kind_of_id).withColumn(number, F.monotonically_increasing_id()), "tokens")
+    placed = pack(tokens.select(number, "length"), [number], "length", capacity, wide=tokens)
     return assembled(placed, id_col, capacity, end_id if pad_id is None else pad_id, kind_of_id)
 
 

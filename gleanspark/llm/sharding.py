@@ -1,15 +1,15 @@
 """Shards of near equal size by histogram sort.
 
-Rows are ordered by a 63-bit key: 39 bits of their group's hash, then 24 bits of their own, so that equal texts lie side by side
-and a group larger than a shard can still be cut. Splitters are found by counting, not by sampling: each round proposes probe
+Rows are ordered by a 63-bit key: 39 bits of their group's hash, then 24 bits of their number's, so that equal texts lie side by side
+and a group larger than a shard, or rows that repeat, can still be cut. Splitters are found by counting, not by sampling: each round proposes probe
 keys inside the bracket of every unfinished splitter, counts the exact bytes below all probes in one pass (partial sums per
 task, one row per probe gap), and narrows the brackets until each splitter's bytes are within its tolerance. Then the rows,
 with their texts, are exchanged once. A shard is ``parts`` consecutive key ranges, so that numbering its rows is the work of many tasks.
 
 The driver holds probes and splitters only (``n_shards * parts`` and ``probes`` numbers).
 
-Defined cases: null sizes count as 0, null groups are one group; rows with equal keys stay in one range, in the order of the ``order``
-columns, and repeated rows are numbered in any order; an empty table gives an empty result; with fewer rows than shards some
+Defined cases: null sizes count as 0, null groups are one group; repeated rows are cut like others and numbered in any order; of rows with equal keys those with smaller ``order``
+columns come first; an empty table gives an empty result; with fewer rows than shards some
 shards are empty; columns named shard or slot are replaced.
 """
 
@@ -28,7 +28,7 @@ GROUP_BITS, ROW_BITS = 39, 24
 
 
 def order_key(group: Column, row: Column) -> Column:
-    """Nonnegative long: equal groups are neighbours."""
+    """Nonnegative long: equal groups are neighbours. row: the row's number, as equal rows must differ."""
     high = F.shiftleft(F.shiftrightunsigned(F.xxhash64(group), 64 - GROUP_BITS), ROW_BITS)
     return high.bitwiseOR(F.shiftrightunsigned(F.xxhash64(row, F.lit(7)), 64 - ROW_BITS))
 
@@ -97,13 +97,15 @@ def find_splitters(keyed: DataFrame, ranges: int, strict_every: int, tolerance:
 
 
 def histogram_shards(df: DataFrame, size: Column, group: Column, order: list[Column], n_shards: int = 16, tolerance: float = 0.001, rows_per_range: int = 1_000_000, bytes_per_range: int = 64_000_000, least_parts: int = 16) -> DataFrame:
-    """df with shard (int, from 0) and slot (long, gapless from 0 in each shard); df must be a written table, as it is read twice.
+    """df with shard (int, from 0) and slot (long, gapless from 0 in each shard).
 
-    Splitters are found on keys and sizes alone; then the whole rows go through one exchange.
+    Rows are written with their keys; splitters are found on keys and sizes alone; then the whole rows go through one exchange.
     """
     kept = [c for c in df.columns if c.lower() not in ("shard", "slot")]
-    key = order_key(group, F.struct(*order))
-    keyed = materialize(df.select(key.alias("key"), F.coalesce(size.cast("long"), F.lit(0)).alias("size")), "shard-keys")
+    key = order_key(group, F.monotonically_increasing_id())  # written down with the row
+    written = df.select(F.struct(*kept).alias("row"), key.alias("key"), F.coalesce(size.cast("long"), F.lit(0)).alias("size"), F.struct(*order).alias("rank"))
+    written = materialize(written, "shard-rows")
+    keyed = written.select("key", "size")
     total = keyed.agg(F.count("*").alias("rows"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).first()
     parts = max(least_parts, -(-total.rows // (n_shards * rows_per_range)), -(-total.bytes // (n_shards * bytes_per_range)))
     splitters = find_splitters(keyed, n_shards * parts, parts, tolerance, 0.05)
@@ -115,7 +117,7 @@ def histogram_shards(df: DataFrame, size: Column, group: Column, order: list[Col
         return pa.array(np.searchsorted(splitters, keys.to_numpy(zero_copy_only=False), side="right"), pa.int64())
 
     # Only keys go to Python.
-    placed = df.select(F.struct(*kept).alias("row"), key.alias("key"), F.struct(*order).alias("rank")).withColumn("range", F.arrow_udf(find, "long")("key"))
+    placed = written.select("row", "key", "rank").withColumn("range", F.arrow_udf(find, "long")("key"))
     place = F.row_number().over(Window.partitionBy("range").orderBy("key", "rank")) - 1
     numbered = placed.withColumn("place", place)
     return numbered.select(

@@ -13,7 +13,7 @@ def spread_lookup(rows: DataFrame, table: DataFrame, key: str, count: str, most_
 
     ``count`` is how many of the rows have the key. Keys with at least ``1 / most_hot`` of all counted rows number at most ``most_hot``; that is the proven bound of the broadcast by which their rows are answered
     where they lie. All other keys meet their rows by shuffle, in groups of fewer rows than that. rows whose key is null, and those
-    answered, are dealt by a hash of all their columns.
+    answered, are dealt by a hash of their number. A key that is in ``rows`` often but not in the table is met in one task: give such tables all keys.
     """
     total = table.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0]
     bar = max(least, -(-total // most_hot))
@@ -32,7 +32,7 @@ def spread_lookup(rows: DataFrame, table: DataFrame, key: str, count: str, most_
 
 
 def _filler(rows: DataFrame, key: str) -> Column:
-    """A value of the key's type that spreads rows evenly."""
-    spread = F.xxhash64(*[F.col(c) for c in rows.columns])
+    """A value of the key's type that spreads rows evenly, equal ones too."""
+    spread = F.xxhash64(F.monotonically_increasing_id())
     kind = rows.schema[key].dataType.simpleString()
     return {"string": F.hex(spread), "array<bigint>": F.array(spread), "binary": F.unhex(F.md5(spread.cast("string")))}.get(kind, spread.cast(kind))
