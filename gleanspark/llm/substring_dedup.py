@@ -32,8 +32,8 @@ from gleanspark.llm.word_blocks import slices, split_words
 from gleanspark.session import materialize, ship
 
 ANCHOR, HOT = 6, 2_000
-WORDS_PER_SHARD = 1_500_000
-CUT_BYTES = 4_000_000
+WORDS_PER_SHARD = 700_000
+CUT_BYTES = 2_000_000
 SPACES = bytes(32 if 9 <= b <= 13 else b for b in range(256))
 STEP = np.uint64(0x9E3779B97F4A7C15)
 BASE = 0xD1342543DE82EF95
@@ -207,7 +207,7 @@ def substring_dedup(docs: DataFrame, text_col: str = "text", window: int = 35, o
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, CUT_BYTES):
                 texts, sizes, lost = [], [], []
                 for body, froms, tos in zip(*(part.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
                     words = body.encode().split()
