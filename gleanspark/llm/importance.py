@@ -62,9 +62,8 @@ def gram_table(blocks: DataFrame, dictionary: DataFrame, least: int, most: int)
             tuples += rows.tolist()
             counts += number.tolist()
         order = np.argsort(np.concatenate(owners), kind="stable")
-        local = np.concatenate(made)[order].astype("<i4")
-        ends = np.cumsum(np.bincount(np.concatenate(owners), minlength=len(left))) * 4
-        packed = pa.Array.from_buffers(pa.binary(), len(left), [None, pa.py_buffer(np.concatenate(([0], ends)).astype(np.int32)), pa.py_buffer(local)])
+        ends = np.cumsum(np.bincount(np.concatenate(owners), minlength=len(left)))
+        packed = wb.packed_places(np.concatenate(made)[order], np.concatenate(([0], ends)))
         block, m, d = left.column("block")[0].as_py(), len(left), len(counts)
         documents = [left.column("block"), left.column("row"), left.column("n_words"), packed, pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.list_(pa.int64()))]
         grams = [pa.array(np.full(d, block)), pa.nulls(d, left.schema.field("row").type), pa.nulls(d, pa.int64()), pa.nulls(d, pa.binary()), pa.array(np.arange(d, dtype=np.int32)), pa.array(counts, pa.int64()), pa.array(tuples, pa.list_(pa.int64()))]

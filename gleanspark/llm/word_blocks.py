@@ -48,7 +48,7 @@ def slices(batch: pa.RecordBatch, most: int = BLOCK_BYTES) -> Iterator[pa.Record
 def word_blocks(docs: DataFrame, table: bytes, label: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs(row, text) as a written table of two kinds of rows.
 
-    Documents: block, row, n_words, places (packed 32-bit numbers of their words, in order). Words: block, word, local (its number in the block), n (its
+    Documents: block, row, n_words, places (the numbers of their words, in order, as ``packed_places``). Words: block, word, local (its number in the block), n (its
     count there).
     """
     kind = docs.schema["row"].dataType
@@ -61,13 +61,16 @@ def word_blocks(docs: DataFrame, table: bytes, label: str, block_bytes: int = BL
             for part in slices(batch, block_bytes):
                 words, borders = split_words(part.column(1), table)
                 coded = words.dictionary_encode()
-                place = coded.indices.to_numpy(zero_copy_only=False).astype("<i4")
+                met = coded.indices.to_numpy(zero_copy_only=False)
                 m, d = len(part), len(coded.dictionary)
-                packed = pa.Array.from_buffers(pa.binary(), m, [None, pa.py_buffer((borders * 4).astype(np.int32)), pa.py_buffer(place)])
+                counts = np.bincount(met, minlength=d).astype(np.int64)
+                order = np.argsort(-counts, kind="stable")  # frequent words get small numbers
+                local = np.empty(d, dtype="<i4")
+                local[order] = np.arange(d)
+                packed = packed_places(local[met], borders)
                 own = pa.array(np.full(m, block))
                 yield pa.RecordBatch.from_arrays([own, part.column(0), pa.array(np.diff(borders)), packed, pa.nulls(m, pa.string()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64())], names=names)
-                counts = np.bincount(place, minlength=d).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(d, block)), pa.nulls(d, part.column(0).type), pa.nulls(d, pa.int64()), pa.nulls(d, pa.binary()), coded.dictionary.cast(pa.string()), pa.array(np.arange(d, dtype=np.int32)), pa.array(counts)], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(d, block)), pa.nulls(d, part.column(0).type), pa.nulls(d, pa.int64()), pa.nulls(d, pa.binary()), coded.dictionary.cast(pa.string()), pa.array(local), pa.array(counts)], names=names)
                 block += 1
 
     schema = f"block long, row {kind.simpleString()}, n_words long, places binary, word string, local int, n long"
@@ -82,10 +85,17 @@ def words_of(blocks: DataFrame) -> DataFrame:
     return blocks.where("local IS NOT NULL").select("block", "word", "local", "n")
 
 
+def packed_places(numbers: np.ndarray, borders: np.ndarray) -> pa.Array:
+    """32-bit numbers of each row as four planes of bytes, lowest first: the upper planes are nearly all zeros, which compress away."""
+    planes = numbers.astype("<i4").view(np.uint8).reshape(-1, 4)
+    return pa.array([planes[a:b].T.tobytes() for a, b in zip(borders[:-1].tolist(), borders[1:].tolist(), strict=True)], pa.binary())
+
+
 def flat_places(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The numbers in a column of packed places, one behind the other, and the borders of each row's."""
-    parts = column.to_pylist()
-    return np.frombuffer(b"".join(parts), dtype="<i4"), np.cumsum([0] + [len(p) // 4 for p in parts])
+    parts = [np.frombuffer(p, dtype=np.uint8).reshape(4, -1).T for p in column.to_pylist()]
+    borders = np.cumsum([0] + [len(p) for p in parts])
+    return (np.concatenate(parts) if parts else np.zeros((0, 4), dtype=np.uint8)).reshape(-1, 4).copy().view("<i4").reshape(-1), borders
 
 
 def meet(documents: DataFrame, values: DataFrame, run: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
