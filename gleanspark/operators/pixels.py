@@ -75,55 +75,6 @@ def exposure(image: np.ndarray) -> tuple[float, float, float, float]:
     return mean, black, white, float(np.clip(score, 0, 1))
 
 
-def eroded(mask: np.ndarray, size: int = 5) -> np.ndarray:
-    return windows(np.asarray(mask, bool), size, "edge").all((-1, -2))
-
-
-def dilated(mask: np.ndarray, size: int = 5) -> np.ndarray:
-    return windows(np.asarray(mask, bool), size, "edge").any((-1, -2))
-
-
-def cleaned(mask: np.ndarray, size: int = 5, times: int = 2) -> np.ndarray:
-    """Opened, then closed."""
-    for _ in range(times):
-        mask = eroded(mask, size)
-    for _ in range(2 * times):
-        mask = dilated(mask, size)
-    for _ in range(times):
-        mask = eroded(mask, size)
-    return mask
-
-
-def labelled(mask: np.ndarray) -> tuple[np.ndarray, int]:
-    """4-connected components: 0 outside, 1..n by first appearance."""
-    out, n = np.zeros(mask.shape, int), 0
-    for y, x in zip(*np.nonzero(mask), strict=True):
-        if out[y, x]:
-            continue
-        n += 1
-        stack = [(y, x)]
-        out[y, x] = n
-        while stack:
-            a, b = stack.pop()
-            for c, d in ((a - 1, b), (a + 1, b), (a, b - 1), (a, b + 1)):
-                if 0 <= c < mask.shape[0] and 0 <= d < mask.shape[1] and mask[c, d] and not out[c, d]:
-                    out[c, d] = n
-                    stack.append((c, d))
-    return out, n
-
-
-def without_specks(mask: np.ndarray, least_area: int, most_hole: int) -> np.ndarray:
-    """Small components dropped, small holes inside filled."""
-    marks, n = labelled(mask)
-    area = np.bincount(marks.ravel(), minlength=n + 1)
-    kept = mask & (area[marks] >= least_area)
-    holes, n = labelled(~kept)
-    area = np.bincount(holes.ravel(), minlength=n + 1)
-    edge = np.unique(np.concatenate([holes[0], holes[-1], holes[:, 0], holes[:, -1]]))
-    inner = (holes > 0) & ~np.isin(holes, edge) & (area[holes] <= most_hole)
-    return kept | inner
-
-
 def texture(image: np.ndarray, mask: np.ndarray | None = None) -> tuple[float, float, float, float]:
     """Variance/255², mean gradient/255, share of strong edges, entropy of a 32-bin density histogram over 5."""
     mask = np.ones(image.shape, bool) if mask is None else mask
@@ -148,47 +99,6 @@ def structure_tensor(image: np.ndarray, mask: np.ndarray | None = None) -> tuple
     return float(angle), float(np.hypot(xx - yy, 2 * xy) / (xx + yy))
 
 
-def fragmentation(occupancy: np.ndarray, size: int = 15) -> np.ndarray:
-    """Deficit times clip(20 variance) in boxes of size."""
-    w = windows(occupancy, size)
-    return (1 - w.mean((-1, -2))) * np.clip(20 * w.var((-1, -2)), 0, 1)
-
-
-def thinned(mask: np.ndarray) -> np.ndarray:
-    """Zhang-Suen skeleton."""
-    out = np.pad(mask.astype(bool), 1)
-    while True:
-        changed = False
-        for half in (0, 1):
-            p = [np.roll(out, s, (0, 1)) for s in ((1, 0), (1, -1), (0, -1), (-1, -1), (-1, 0), (-1, 1), (0, 1), (1, 1))]
-            count = sum(x.astype(int) for x in p)
-            turns = sum((~p[i] & p[(i + 1) % 8]).astype(int) for i in range(8))
-            a, b = ((0, 2, 4), (2, 4, 6)) if not half else ((0, 2, 6), (0, 4, 6))
-            drop = out & (count >= 2) & (count <= 6) & (turns == 1) & ~(p[a[0]] & p[a[1]] & p[a[2]]) & ~(p[b[0]] & p[b[1]] & p[b[2]])
-            drop[[0, -1]] = drop[:, [0, -1]] = False
-            out, changed = out & ~drop, changed or drop.any()
-        if not changed:
-            return out[1:-1, 1:-1]
-
-
-def hough_lines(mask: np.ndarray, least: int = 60, most: int = 50, step: float = 1.0) -> list[tuple[float, float, int]]:
-    """(angle of the line in degrees, signed distance, votes) of straight lines, strongest first; neighbours in angle and distance are one."""
-    y, x = np.nonzero(mask)
-    normals = np.arange(0, 180, step)
-    votes: dict[tuple[int, int], int] = {}
-    for i, a in enumerate(np.radians(normals)):
-        rho, n = np.unique(np.rint(x * np.cos(a) + y * np.sin(a)).astype(int), return_counts=True)
-        votes.update({(i, int(r)): int(c) for r, c in zip(rho, n, strict=True) if c >= least})
-    lines: list[tuple[float, float, int]] = []
-    for (i, r), n in sorted(votes.items(), key=lambda v: (-v[1], v[0])):
-        angle = float((normals[i] + 90) % 180)
-        if all(min(abs(angle - a), 180 - abs(angle - a)) > 5 or abs(r - d) > 8 for a, d, _ in lines):
-            lines.append((angle, float(r), n))
-        if len(lines) == most:
-            break
-    return lines
-
-
 def per_picture(df: DataFrame, schema: str, kernel) -> DataFrame:  # noqa: ANN001
     """path and the kernel's columns for each picture; data goes to Python in Arrow batches and does not come back."""
 
