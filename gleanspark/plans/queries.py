@@ -192,12 +192,6 @@ def isolation_scores(spark, sf_dir):
     return stats.isolation_forest(rows, ["frame"], ["value", "color", "texture"], "frame int, row int, col int, value double, color double, texture double, score double")
 
 
-@query("""SELECT CAST(i // 8 AS INT) AS row, CAST(i % 8 AS INT) AS col, CAST(i // 8 * 1080 // 8 AS INT) AS y0, CAST((i // 8 + 1) * 1080 // 8 AS INT) AS y1,
-CAST(i % 8 * 1500 // 8 AS INT) AS x0, CAST((i % 8 + 1) * 1500 // 8 AS INT) AS x1 FROM range(64) t(i)""")
-def grid_bounds(spark, sf_dir):
-    return grid.bounds(spark, 1080, 1500)
-
-
 # ---------------------------------------------------------------- groups and spacings
 
 
@@ -563,12 +557,6 @@ def json_props_extract(spark, sf_dir):
     return e.select("event_id", F.from_json("props", "k bigint")["k"].alias("k"), payload.alias("payload"))
 
 
-@query("""SELECT * FROM (VALUES (1, 40.1234, -88.5678, 41.2), (2, -12.0, 7.5, NULL), (3, NULL, NULL, NULL), (4, NULL, NULL, NULL)) t(id, latitude, longitude, altitude)""")
-def gps_parse(spark, sf_dir):
-    rows = spark.createDataFrame([(1, "+40.1234-088.5678+041.200/"), (2, " -12+7.5 "), (3, "40.1-88"), (4, None)], "id int, tag string")
-    return rows.withColumn("g", geometry.iso6709(F.col("tag"))).select("id", "g.latitude", "g.longitude", "g.altitude")
-
-
 @query("SELECT vec_id, CASE WHEN label % 2 = 0 THEN '{\"type\":\"Point\",\"coordinates\":[' || CAST(label AS DOUBLE) || ',' || 1.5 || ']}' END AS geometry FROM embeddings")
 def geojson_export(spark, sf_dir):
     x = F.when(F.col("label") % 2 == 0, F.col("label").cast("double"))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleanspark.functions import geometry
 from gleanspark.operators import raster, row_lines, structure
 from gleanspark.plans.queries import query, r6
 from gleanspark.session import materialize, table
+from gleanspark.sources import containers
 
 ORDERS = 1000
 HEIGHT, WIDTH = 24, 32
@@ -255,3 +257,64 @@ def fragmentation_map(spark, sf_dir):
   round(coalesce(avg(f) FILTER (in_field), 0.0), 6) AS fragments FROM fragments GROUP BY ALL""")
 def cell_fragments(spark, sf_dir):
     return structure.cell_fragments(_fragments(spark, sf_dir), ["frame"]).withColumn("fragments", r6("fragments"))
+
+
+# ---------------------------------------------------------------- files and positions
+
+
+def _box(kind: str, *parts: Column) -> Column:
+    """A box of an MP4 file around binary columns."""
+    body = F.concat(*parts)
+    return F.concat(F.unhex(F.lpad(F.hex((F.octet_length(body) + 8).cast("long")), 8, "0")), F.lit(kind.encode("latin-1")), body)
+
+
+def _u32(value: Column) -> Column:
+    return F.unhex(F.lpad(F.hex(value.cast("long")), 8, "0"))
+
+
+@query("""SELECT event_id AS id, CAST(640 + event_id % 7 * 16 AS INT) AS width, CAST(360 + event_id % 5 * 8 AS INT) AS height, round((24 + event_id % 3) * (event_id % 40 + 1) / (event_id % 40 + 1.0), 6) AS fps,
+  CAST((24 + event_id % 3) * (event_id % 40 + 1) AS BIGINT) AS frame_count, round(event_id % 40 + 1.0, 6) AS duration_sec, CASE WHEN event_id % 2 = 0 THEN 'h264' ELSE 'hevc' END AS codec,
+  CAST(event_id % 4 * 90 AS INT) AS orientation, CASE WHEN event_id % 6 <> 0 THEN round(event_id % 90 + 0.5, 6) END AS latitude, CASE WHEN event_id % 6 <> 0 THEN round(-(event_id % 180) - 0.25, 6) END AS longitude FROM events""")
+def container_metadata(spark, sf_dir):
+    """Films of a few hundred bytes, one per event, written and read in the engine."""
+    e = table(spark, sf_dir, "events").select(F.col("event_id").cast("long").alias("i"))
+    i = F.col("i")
+    zeros = lambda n: F.lit(bytes(n))
+    seconds, rate = i % 40 + 1, 24 + i % 3
+    turn = lambda *four: F.concat(*[F.unhex(F.lit({1: "00010000", 0: "00000000", -1: "FFFF0000"}[v])) for v in four])
+    corner = lambda a, b, c, d: F.concat(turn(a, b, 0, c, d, 0, 0, 0), F.unhex(F.lit("40000000")))
+    matrix = F.when(i % 4 == 0, corner(1, 0, 0, 1)).when(i % 4 == 1, corner(0, 1, -1, 0)).when(i % 4 == 2, corner(-1, 0, 0, -1)).otherwise(corner(0, -1, 1, 0))
+    tkhd = _box("tkhd", zeros(40), matrix, _u32((640 + i % 7 * 16) * 65536), _u32((360 + i % 5 * 8) * 65536))
+    entry = F.when(i % 2 == 0, F.lit(b"avc1")).otherwise(F.lit(b"hvc1"))
+    stsd = _box("stsd", zeros(4), _u32(F.lit(1)), _u32(F.lit(16)), entry, zeros(8))
+    stts = _box("stts", zeros(4), _u32(F.lit(1)), _u32(rate * seconds), _u32(F.lit(1)))
+    media = _box("mdia", _box("mdhd", zeros(12), _u32(rate), _u32(rate * seconds), zeros(4)), _box("hdlr", zeros(8), F.lit(b"vide"), zeros(12)), _box("minf", _box("stbl", stsd, stts)))
+    place = F.format_string("+%d.5-%d.25/", i % 90, i % 180).cast("binary")
+    place = F.when(i % 6 == 0, F.lit(b"nowhere")).otherwise(place)
+    film = F.concat(_box("ftyp", F.lit(b"isom")), _box("moov", _box("trak", tkhd, media), _box("udta", _box("\xa9xyz", zeros(4), place))))
+    found = containers.media_metadata(e.select(i.alias("path"), film.alias("content")))
+    return found.select(F.col("path").alias("id"), "width", "height", r6("fps").alias("fps"), "frame_count", r6("duration_sec").alias("duration_sec"), "codec", "orientation", r6("latitude").alias("latitude"), r6("longitude").alias("longitude"))
+
+
+@query(f"""WITH s AS (SELECT CAST(l_orderkey // {ORDERS} AS INT) AS frame, CAST(600 + max(l_partkey) % 500 AS INT) AS h, CAST(900 + max(l_suppkey) % 700 AS INT) AS w FROM lineitem GROUP BY ALL)
+SELECT frame, CAST(r.i AS INT) AS row, CAST(c.i AS INT) AS col, CAST(r.i * h // 8 AS INT) AS y0, CAST((r.i + 1) * h // 8 AS INT) AS y1, CAST(c.i * w // 8 AS INT) AS x0, CAST((c.i + 1) * w // 8 AS INT) AS x1 FROM s, range(8) AS r(i), range(8) AS c(i)""")
+def grid_bounds(spark, sf_dir):
+    """The cells' pixels of pictures of many sizes."""
+    frame = F.floor(F.col("l_orderkey") / ORDERS).cast("int").alias("frame")
+    sizes = table(spark, sf_dir, "lineitem").groupBy(frame).agg((600 + F.max("l_partkey") % 500).cast("int").alias("height"), (900 + F.max("l_suppkey") % 700).cast("int").alias("width"))
+    return structure.cell_bounds(sizes, ["frame"]).select("frame", "row", "col", "y0", "y1", "x0", "x1")
+
+
+@query("""SELECT event_id AS id, CASE WHEN event_id % 5 < 3 THEN CAST(event_id % 90 AS DOUBLE) + 0.25 END AS latitude, CASE WHEN event_id % 5 < 3 THEN -(CAST(event_id % 180 AS DOUBLE) + 0.5) END AS longitude,
+  CASE WHEN event_id % 5 = 0 THEN CAST(event_id % 300 AS DOUBLE) END AS altitude FROM events""")
+def gps_parse(spark, sf_dir):
+    """Location tags with and without a height and a closing stroke, broken ones and none."""
+    i = F.col("event_id").cast("long")
+    tag = (
+        F.when(i % 5 == 0, F.format_string("+%02d.25-%03d.5+%d/", i % 90, i % 180, i % 300))
+        .when(i % 5 == 1, F.format_string(" +%d.25-%d.50", i % 90, i % 180))
+        .when(i % 5 == 2, F.format_string("+%d.250-%d.5/", i % 90, i % 180))
+        .when(i % 5 == 3, F.format_string("%d.25-%d.5/", i % 90, i % 180))
+    )
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), geometry.iso6709(tag).alias("g"))
+    return e.select("id", "g.latitude", "g.longitude", "g.altitude")
