@@ -181,7 +181,11 @@ def boundary_costs(spark, sf_dir):
     return _edges(spark, sf_dir).select("frame", "a_row", "a_col", "b_row", "b_col", r6("cost").alias("cost"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {CELLS}, {EDGES},
+ways AS (SELECT frame, a_row * 8 + a_col AS a, b_row * 8 + b_col AS b FROM ed WHERE cost < 0.05 UNION SELECT frame, b_row * 8 + b_col, a_row * 8 + a_col FROM ed WHERE cost < 0.05),
+flow(frame, id, label) AS (SELECT frame, row * 8 + col, row * 8 + col FROM cells UNION SELECT f.frame, w.b, f.label FROM flow AS f JOIN ways AS w ON f.frame = w.frame AND f.id = w.a WHERE f.label < w.b),
+least AS (SELECT frame, id, min(label) AS label FROM flow GROUP BY ALL)
+SELECT frame, CAST(id // 8 AS INT) AS row, CAST(id % 8 AS INT) AS col, CAST(dense_rank() OVER (PARTITION BY frame ORDER BY label) AS INT) AS unit FROM least""")
 def unit_components(spark, sf_dir):
     return grid.units(_unit_cells(spark, sf_dir), ["frame"], _edges(spark, sf_dir).where("cost < 0.05"))
 
@@ -598,7 +602,16 @@ def bbox_iou_pairs(spark, sf_dir):
     return matching.box_pairs(*_boxes(spark, sf_dir), ["user_id"]).select("user_id", "a_id", "b_id", r6("iou").alias("iou"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {BOXES},
+turns AS (SELECT user_id, event_id AS a_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM bx WHERE side = 0),
+asked AS (SELECT a_id, list({{'b': b_id, 'iou': iou}} ORDER BY iou DESC, b_id) AS best FROM io GROUP BY a_id),
+line AS (SELECT t.*, coalesce(best, []) AS best FROM turns AS t LEFT JOIN asked USING (a_id)),
+fold(user_id, k, a_id, pick, taken) AS (
+  SELECT user_id, 0, NULL::BIGINT, NULL::STRUCT(b BIGINT, iou DOUBLE), []::BIGINT[] FROM (SELECT DISTINCT user_id FROM turns)
+  UNION ALL
+  SELECT user_id, k, a_id, pick, CASE WHEN pick IS NULL THEN taken ELSE list_append(taken, pick.b) END
+  FROM (SELECT f.user_id, l.k, l.a_id, list_filter(l.best, lambda x: NOT list_contains(f.taken, x.b))[1] AS pick, f.taken FROM fold AS f JOIN line AS l ON l.user_id = f.user_id AND l.k = f.k + 1))
+SELECT user_id, a_id, pick.b AS b_id, round(coalesce(pick.iou, 0.0), 6) AS iou FROM fold WHERE k > 0""")
 def greedy_iou_match(spark, sf_dir):
     return matching.greedy_match(*_boxes(spark, sf_dir), ["user_id"]).select("user_id", "a_id", "b_id", r6("iou").alias("iou"))
 
@@ -644,16 +657,47 @@ def _track_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("run_id", "frame", "row", "col", F.col("frame").cast("double").alias("ts_sec"), F.least(F.col("m") / 100, F.lit(1.0)).alias("appearance"), F.least(F.col("lo") / 120, F.lit(1.0)).alias("structural"), F.lit(True).alias("valid"), ((F.col("col") + 0.5) / 8).alias("cx"), ((F.col("row") + 0.5) / 8).alias("cy"))
 
 
-@query()
+TRACKS = f"""
+tc AS (SELECT user_id AS run_id, dayofmonth(ts) AS frame, CAST(event_id % 8 AS INT) AS row, CAST(event_id // 8 % 8 AS INT) AS col, least(max(value) / 100, 1.0) AS appearance, least(min(value) / 120, 1.0) AS structural FROM events GROUP BY ALL),
+tb AS (SELECT *, greatest(appearance, structural) AS base, (col + 0.5) / 8 AS cx, (row + 0.5) / 8 AS cy FROM tc WHERE greatest(appearance, structural) >= 0.75 * {rules.MEDIUM}),
+tn AS (SELECT *, row_number() OVER (PARTITION BY run_id, frame ORDER BY base DESC, row, col) AS nth FROM tb QUALIFY nth <= 8),
+steps AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY frame, nth) AS k FROM tn),
+walk(run_id, k, frame, nth, track, ends, taken) AS (
+  SELECT run_id, 0, -1::BIGINT, 0::BIGINT, 0::BIGINT, []::STRUCT(x DOUBLE, y DOUBLE)[], []::BIGINT[] FROM (SELECT DISTINCT run_id FROM steps)
+  UNION ALL
+  SELECT run_id, k, frame, nth, coalesce(best, len(ends) + 1),
+    CASE WHEN best IS NULL THEN list_append(ends, {{'x': cx, 'y': cy}}) ELSE list_transform(ends, lambda e, i: CASE WHEN i = best THEN {{'x': cx, 'y': cy}} ELSE e END) END,
+    CASE WHEN best IS NULL THEN free ELSE list_append(free, best) END
+  FROM (SELECT *, CASE WHEN reach[1].d <= 0.14 THEN reach[1].i END AS best FROM (
+    SELECT s.run_id, s.k, s.frame, s.nth, s.cx, s.cy, w.ends, CASE WHEN w.frame = s.frame THEN w.taken ELSE []::BIGINT[] END AS free,
+      list_sort(list_filter(list_transform(w.ends, lambda e, i: {{'d': sqrt((s.cx - e.x) ** 2 + (s.cy - e.y) ** 2), 'i': i}}), lambda o: NOT list_contains(CASE WHEN w.frame = s.frame THEN w.taken ELSE []::BIGINT[] END, o.i))) AS reach
+    FROM walk AS w JOIN steps AS s ON s.run_id = w.run_id AND s.k = w.k + 1))),
+linked AS (SELECT n.*, w.track FROM steps AS n JOIN walk AS w USING (run_id, k))"""
+
+
+@query(f"WITH RECURSIVE {TRACKS} SELECT run_id, frame, nth, row, col, track FROM linked")
 def track_link(spark, sf_dir):
     return tracks.link(tracks.candidates(_track_cells(spark, sf_dir))).select("run_id", "frame", "nth", "row", "col", "track")
 
 
-@query()
+@query(f"""WITH RECURSIVE {TRACKS},
+whole AS (SELECT run_id, count(*) AS total FROM (SELECT DISTINCT run_id, frame FROM tc) GROUP BY ALL),
+z AS (SELECT run_id, track, count(*) AS seen, avg(appearance) AS appearance, avg(structural) AS structural, avg(cx) AS cx, avg(cy) AS cy, min(frame) AS first_seen_sec, max(frame) AS last_seen_sec,
+  arg_min(row, (-base, frame, nth)) AS row, arg_min(col, (-base, frame, nth)) AS col FROM linked GROUP BY ALL HAVING count(*) >= 3),
+y AS (SELECT z.*, total, greatest(appearance, structural) AS anomaly, least(seen / greatest(total, 0.001), 1.0) AS persistence FROM z JOIN whole USING (run_id) WHERE greatest(appearance, structural) >= 0.85 * {rules.MEDIUM}),
+x AS (SELECT *, {rules.ANOMALY_SHARE} * anomaly + {rules.PERSISTENCE_SHARE} * persistence AS review FROM y),
+v AS (SELECT *, CASE WHEN review >= {rules.HIGH} AND (structural >= 0.15 AND appearance >= 0.15 OR structural >= 0.35 AND persistence >= 0.6) THEN 'high' WHEN review >= {rules.MEDIUM} THEN 'medium' ELSE 'low' END AS priority,
+  (CASE WHEN cy < 1.0 / 3 THEN 'north' WHEN cy > 2.0 / 3 THEN 'south' ELSE '' END) || (CASE WHEN cx < 1.0 / 3 THEN 'west' WHEN cx > 2.0 / 3 THEN 'east' ELSE '' END) AS place FROM x)
+SELECT run_id, track, printf('IZ-%03d', track) AS zone_id, round(appearance, 6) AS appearance, round(structural, 6) AS structural, round(cx, 6) AS cx, round(cy, 6) AS cy, CAST(first_seen_sec AS DOUBLE) AS first_seen_sec,
+  CAST(last_seen_sec AS DOUBLE) AS last_seen_sec, row, col, total, round(anomaly, 6) AS anomaly, round(persistence, 6) AS persistence, round(review, 6) AS review, priority, CASE WHEN place = '' THEN 'center' ELSE place END AS location,
+  least(seen, total) AS observations FROM v
+QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY CASE priority WHEN 'high' THEN 2 WHEN 'medium' THEN 1 ELSE 0 END DESC, review DESC, structural DESC, persistence DESC, track) <= 12""")
 def inspection_zones(spark, sf_dir):
     c = _track_cells(spark, sf_dir)
     frames = c.select("run_id", "frame").distinct().withColumn("quality_weight", F.lit(1.0)).withColumn("registration", F.lit(None).cast("double"))
-    return tracks.zones(tracks.link(tracks.candidates(c)), frames)
+    found = tracks.zones(tracks.link(tracks.candidates(c)), frames)
+    scores = [r6(c).alias(c) for c in ("appearance", "structural", "cx", "cy", "anomaly", "persistence", "review")]
+    return found.select("run_id", "track", "zone_id", "first_seen_sec", "last_seen_sec", "cell.row", "cell.col", "total", "priority", "location", "observations", *scores)
 
 
 @query("""WITH t AS (SELECT user_id, event_type, ts, event_id, value / 500 AS s, 0.5 + (event_id % 5) / 10.0 AS w FROM events),
