@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from gleanspark.operators import asof
+from gleanspark.operators import asof, commits
 
 WINDOW = 20
 
@@ -79,6 +79,68 @@ def session_status(since_frame: Column, connected: Column, ended: Column, lost_a
     )
 
 
+def sessions(signals: DataFrame, session: str, time: str, ended: str, lost_after: float = 5.0, first_wait: float = 2.0, most_wait: float = 15.0) -> DataFrame:
+    """session, status, attempt, wait_sec, last_frame: the changes of live sessions, as a stream that goes on while none of their frames come.
+
+    signals: session, time (of a frame; null: the session is announced), ended (true: it is over). A session is connecting until its first frame, and then live. Without a frame
+    for lost_after seconds by the clock it is stream_lost; from then on every wait that runs out is an attempt to reconnect, the waits double up to most_wait, and a frame makes the
+    session live and the waits short again. A session that ended keeps no state.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in signals.schema.fields}
+
+    def wait(state: GroupState, seconds: float) -> float:
+        state.setTimeoutDuration(max(1, int(1000 * seconds)))
+        return seconds
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        status, attempt, last = state.get if state.exists else (None, 0, None)
+        rows = []
+        if state.hasTimedOut:
+            if status == "live":
+                status, attempt = "stream_lost", 0
+            elif status != "connecting":
+                status, attempt = "reconnecting", attempt + 1
+            pause = wait(state, min(first_wait * 2**attempt, most_wait) if status != "connecting" else lost_after)
+            state.update((status, attempt, last))
+            if status != "connecting":
+                rows.append((key[0], status, attempt, pause, last))
+        else:
+            pdf = pd.concat(list(batches))
+            frames = pdf[time].dropna()
+            if status is None and frames.empty:
+                status = "connecting"
+                rows.append((key[0], status, 0, None, None))
+            if not frames.empty:
+                last = max(frames.max().timestamp(), last or 0.0)
+                if status != "live":
+                    status, attempt = "live", 0
+                    rows.append((key[0], status, 0, None, last))
+            if pdf[ended].fillna(False).astype(bool).any():
+                rows.append((key[0], "ended", 0, None, last))
+                if state.exists:
+                    state.remove()
+            else:
+                state.update((status, attempt, last))
+                wait(state, lost_after)
+        yield pd.DataFrame(rows, columns=[session, "status", "attempt", "wait_sec", "last_frame"])
+
+    out = f"{session} {kinds[session]}, status string, attempt int, wait_sec double, last_frame double"
+    slim = signals.select(session, time, ended)
+    return slim.groupBy(session).applyInPandasWithState(step, out, "status string, attempt int, last double", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def save_areas(areas: DataFrame, readings: DataFrame, path: str, session: str = "session_id", time_ms: str = "ts_ms", ident: str = "area_id"):  # noqa: ANN201
+    """A stream writer of saved areas, each with the reading of its session that was nearest when it was saved (within 2 s), into a table of committed batches.
+
+    A batch that is replayed, by the same query or after a restart from its checkpoint, changes nothing.
+    """
+
+    def each(batch: DataFrame, number: int) -> None:
+        commits.commit_batch(with_telemetry(batch, readings, session, time_ms, ident), path, f"{number:012d}")
+
+    return areas.writeStream.foreachBatch(each)
+
+
 def with_telemetry(frames: DataFrame, readings: DataFrame, session: str, frame_ms: str, frame_id: str, reading_ms: str = "timestamp_ms") -> DataFrame:
     """Frames with the nearest reading of their session within 2 s and its tier: one join per frame, not one per zone. For tables and micro-batches."""
     best = asof.nearest_within(frames, readings, [session], frame_ms, reading_ms, frame_id, [], 2000)
