@@ -10,14 +10,18 @@ from pyspark.sql import functions as F
 
 from gleanspark.functions.geometry import clip
 
+#: Levels of the review score, and the shares of its parts.
 HIGH, MEDIUM = 0.62, 0.38
 ANOMALY_SHARE, PERSISTENCE_SHARE = 0.65, 0.35
+#: Names of unit and zone types.
 WITHOUT_CROP = ("residue_stubble", "bare_soil", "non_crop")
 NEED_CROP = ("stand_gap", "sparse_canopy", "row_discontinuity")
+#: Phrases that a text must not hold.
 FORBIDDEN = (
     "disease", "nitrogen deficien", "nutrient deficien", "water stress", "drought stress", "yield loss",
     "unhealthy crop", "unhealthy plant", "planting failure", "pest damage", "infection", "fungal",
 )
+#: Titles of signals, by name.
 SIGNALS = {
     "stand_gap": "Possible stand gap / crop discontinuity",
     "row_discontinuity": "Possible row discontinuity",
@@ -27,6 +31,7 @@ SIGNALS = {
     "texture_variation": "Unusual surface texture",
     "general_visual_variation": "General visual variation",
 }
+#: Titles of issues, by name.
 ISSUES = {
     "stand_gap": "Possible Crop Gap",
     "row_discontinuity": "Possible Crop Gap",
@@ -36,7 +41,7 @@ ISSUES = {
     "texture_variation": "Visual Difference",
     "general_visual_variation": "Visual Difference",
 }
-#: Ordered, case-insensitive replacements in reasons.
+#: Ordered, case-insensitive replacements in reasons.
 COPY_EDITS = (
     (r"DINO visual features differ from field baseline \(distance [\d.]+\)", "Looks different from nearby crop in the image"),
     (r"embedding distance [\d.]+", "looks different from nearby crop"),

@@ -136,7 +136,7 @@ def pixel_rows(df: DataFrame) -> DataFrame:
 
 
 def colour_masks(b: Column, g: Column, r: Column, edge: Column | None = None, variance: Column | None = None) -> dict[str, Column]:
-    """Boolean masks by colour rules over channels 0..255. edge: near a strong edge; variance: of gray nearby. Without them roads, trees and buildings are not told."""
+    """Boolean masks by colour rules over channels 0..255 (fixed values). edge: near a strong edge; variance: of gray nearby. Without them roads, trees and buildings are not told."""
     exg, value = (2 * g - r - b) / 255.0, F.greatest(b, g, r)
     saturation = F.when(value == 0, 0.0).otherwise((value - F.least(b, g, r)) / value * 255)
     edge = F.lit(False) if edge is None else edge
@@ -184,6 +184,56 @@ def descriptors(df: DataFrame, rows: int = 8, cols: int = 8) -> DataFrame:
     return df.select("path", "height", "width", "data").mapInPandas(run, "path string, row int, col int, embedding array<float>")
 
 
+def dense_descriptor(bgr: np.ndarray, gx: np.ndarray, gy: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """54 numbers of the pixels under mask: densities of blue, green, red, hue (8 bins each), Lab's a and b (6 each) and gradient directions by strength (8), mean strength, spread of gray."""
+    colours, grays = lab(bgr), gray(bgr)
+    channels = [(bgr[..., i], 8, 256) for i in range(3)] + [(hsv(bgr)[..., 0], 8, 180), (colours[..., 1], 6, 256), (colours[..., 2], 6, 256)]
+    size, turn = np.hypot(gx, gy)[mask], ((np.arctan2(gy, gx) + np.pi) / (2 * np.pi))[mask]
+    parts = [np.histogram(c[mask], n, (0, top), density=True)[0] for c, n, top in channels]
+    parts += [np.histogram(turn, 8, (0, 1), density=True, weights=size + 1e-6)[0], [size.mean() / 255, grays[mask].std() / 255]]
+    return np.concatenate(parts)
+
+
+def dense_descriptors(df: DataFrame, rows: int = 8, cols: int = 8) -> DataFrame:
+    """path, row, col, raw array<double> (54) of each cell of each picture."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for p in pdf.itertuples():
+                image = as_array(p.data, p.height, p.width)
+                gx, gy = gradients(gray(image))
+                ys, xs = [r * p.height // rows for r in range(rows + 1)], [c * p.width // cols for c in range(cols + 1)]
+                cells = [(r, c, slice(ys[r], ys[r + 1]), slice(xs[c], xs[c + 1])) for r in range(rows) for c in range(cols) if ys[r] < ys[r + 1] and xs[c] < xs[c + 1]]
+                found = [(p.path, r, c, dense_descriptor(image[y, x], gx[y, x], gy[y, x], np.ones((y.stop - y.start, x.stop - x.start), bool))) for r, c, y, x in cells]
+                yield pd.DataFrame(found, columns=["path", "row", "col", "raw"])
+
+    return df.select("path", "height", "width", "data").mapInPandas(run, "path string, row int, col int, raw array<double>")
+
+
+def whitened_cells(cells: DataFrame, keys: list[str], vector: str = "raw", size: int = 64) -> DataFrame:
+    """The cells (a picture's, so a bounded group) with ``embedding``: principal components of their picture's vectors at unit variance (divisor n - 1), padded with zeros to ``size``, at unit length.
+
+    The largest entry of each direction is positive; directions without variance are zero. A picture of one cell has zeros only.
+    """
+    others = [f for f in cells.schema.fields if f.name != vector]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.stack(pdf[vector].to_list()).astype(float)
+        x = x - x.mean(axis=0)
+        out = np.zeros((len(x), size))
+        if len(x) > 1:
+            values, directions = np.linalg.eigh(x.T @ x / (len(x) - 1))
+            values, directions = values[::-1], directions[:, ::-1]
+            directions = directions * np.where(directions[np.abs(directions).argmax(axis=0), np.arange(len(values))] < 0, -1.0, 1.0)
+            n = min(size, len(x), int((values > values[0] * 1e-12).sum()) if values[0] > 0 else 0)
+            out[:, :n] = x @ directions[:, :n] / np.sqrt(values[:n])
+        out /= np.linalg.norm(out, axis=1, keepdims=True) + 1e-8
+        return pdf.drop(columns=[vector]).assign(embedding=list(out.astype(np.float32)))
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in others)
+    return cells.groupBy(*keys).applyInPandas(run, f"{kinds}, embedding array<float>")
+
+
 def colour_stats(pixels: DataFrame, keys: list[str]) -> DataFrame:
     """Means and population deviations of channels and ExG, and the vegetation share; 0 where there is none."""
     p = pixels.withColumn("exg", (2 * F.col("g") - F.col("r") - F.col("b")) / 255.0)

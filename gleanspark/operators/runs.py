@@ -31,7 +31,7 @@ def usable_frames(frames: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def key_findings(scheduled: Column, usable: Column, seen: Column, coverage_delta: Column, soil_delta: Column) -> Column:
-    """Findings in order; what is unknown or not positive is not mentioned."""
+    """Findings in order; what is unknown or not positive is not mentioned. The sentences are fixed values."""
     percent = lambda c: F.bround(c * 100).cast("int").cast("string")
     text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
     number = lambda c: c.cast("string")
@@ -58,7 +58,7 @@ def queue_status(jobs: DataFrame, n: int = 100, created: str = "created_at", ide
 
 
 def restarted(jobs: DataFrame, now: Column) -> DataFrame:
-    """Jobs after a restart: what was not finished has failed."""
+    """Jobs after a restart: what was not finished has failed, with a fixed sentence."""
     cut = F.col("status").isin(*UNFINISHED)
     new = {
         "error": F.lit("Vision service restarted before this analysis completed"),
@@ -155,7 +155,7 @@ def largest_masks(masks: DataFrame, keys: list[str], area: str, order: list[str]
 
 
 def mask_name(exg: Column, saturation: Column, value: Column, blue: Column, variance: Column, share: Column, long: Column) -> Column:
-    """The class of a mask, by ordered rules over its means (8-bit saturation and value); blue: blue less green."""
+    """The class of a mask, by ordered rules over its means (8-bit saturation and value); blue: blue less green. Thresholds are fixed values."""
     return (
         F.when((blue > 0.05) & (value < 160), "WATER")
         .when((exg > 0.06) & (value < 95) & (variance > 180), "TREE_VEGETATION")
@@ -174,7 +174,7 @@ def long_mask(pixels: Column, wide: Column, tall: Column) -> Column:
 
 
 def skipped_unit(kind: Column, confidence: Column, crop_pixels: Column, least_confidence: float = 0.3, least_pixels: int = 100) -> Column:
-    """Why a unit's rows are not looked for; null where they are."""
+    """Why a unit's rows are not looked for, in fixed words; null where they are."""
     return (
         F.when(kind != "active_crop", F.concat(F.lit("unit_type="), kind, F.lit(", not ACTIVE_CROP")))
         .when(confidence < least_confidence, F.concat(F.lit("confidence="), F.format_string("%.2f", confidence), F.lit(f" below min_confidence={least_confidence}")))

@@ -15,6 +15,15 @@ from gleanspark.operators.quantiles import exact_quantiles, medians
 MAD_SCALE = 1.4826
 
 
+def _with(df: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """df with the columns of table, one row per group; null keys are groups too."""
+    named = table.select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], *[c for c in table.columns if c not in keys])
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_key{i}"))
+    return df.join(named, same, "left").drop(*[f"_key{i}" for i in range(len(keys))])
+
+
 def robust_zs(df: DataFrame, values: dict[str, float], keys: list[str], valid: Column | None = None, prefix: str = "z_") -> DataFrame:
     """df with z_<value>: |x - median| / (1.4826 max(MAD, floor)) within keys for each value and its floor; 0 for invalid rows.
 
@@ -22,13 +31,13 @@ def robust_zs(df: DataFrame, values: dict[str, float], keys: list[str], valid: C
     """
     ok = F.coalesce(valid, F.lit(False)) if valid is not None else F.lit(True)
     x = {c: F.when(ok, F.col(c)) for c in values}
-    centred = df.join(medians(df, keys, {f"_med_{c}": x[c] for c in values}), keys, "left")
+    centred = _with(df, medians(df, keys, {f"_med_{c}": x[c] for c in values}), keys)
     mads = medians(centred, keys, {f"_mad_{c}": F.abs(x[c] - F.col(f"_med_{c}")) for c in values})
     scores = {}
     for c, floor in values.items():
         scale = MAD_SCALE * F.greatest(F.col(f"_mad_{c}"), F.lit(floor))
         scores[f"{prefix}{c}"] = F.when(ok & F.col(f"_med_{c}").isNotNull(), F.abs(F.col(c) - F.col(f"_med_{c}")) / scale).otherwise(0.0)
-    return centred.join(mads, keys, "left").withColumns(scores).drop(*[f"_med_{c}" for c in values], *[f"_mad_{c}" for c in values])
+    return _with(centred, mads, keys).withColumns(scores).drop(*[f"_med_{c}" for c in values], *[f"_mad_{c}" for c in values])
 
 
 def robust_z(df: DataFrame, value: str, keys: list[str], floor: float = 0.01, valid: Column | None = None, out: str = "z") -> DataFrame:

@@ -97,6 +97,18 @@ def changes(df: DataFrame, keys: list[str], order: list[str], state: str) -> Dat
     return df.withColumn("_before", before).where(~F.col(state).eqNullSafe(F.col("_before"))).drop("_before")
 
 
+def motion(df: DataFrame, keys: list[str], order: list[str], value: str, scale: float = 255.0, least: float = 0.35) -> DataFrame:
+    """df with ``motion``, the change from the row before over scale (null for the first), and ``moved``: over ``least``."""
+    change = F.abs(F.col(value) - F.lag(value).over(Window.partitionBy(*keys).orderBy(*order))) / scale
+    return df.withColumn("motion", change).withColumn("moved", F.coalesce(F.col("motion") > least, F.lit(False)))
+
+
+def rolling(df: DataFrame, keys: list[str], order: list[str], value: str, rows: int = 20) -> DataFrame:
+    """df with ``rolling_mean`` and ``n`` over the last ``rows`` rows, the own included."""
+    last = Window.partitionBy(*keys).orderBy(*order).rowsBetween(1 - rows, 0)
+    return df.withColumn("rolling_mean", F.avg(value).over(last)).withColumn("n", F.count("*").over(last))
+
+
 def islands(df: DataFrame, keys: list[str], position: str, gap: float, order: list[str]) -> DataFrame:
     """df with ``island``: a new one wherever the step from the row before exceeds gap."""
     w = Window.partitionBy(*keys).orderBy(position, *order)

@@ -479,7 +479,7 @@ def zone_from_json(spark, sf_dir):
 @query("SELECT user_id, concat_ws(',', kinds[1], kinds[2]) AS first_reasons FROM (SELECT user_id, list_sort(list_distinct(list(event_type))) AS kinds FROM events GROUP BY user_id)")
 def first_reasons(spark, sf_dir):
     kinds = F.array_sort(F.collect_set("event_type"))
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_join(F.slice(kinds, 1, 2), ",").alias("first_reasons"))
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(report.first_reasons(kinds).alias("first_reasons"))
 
 
 @query("""WITH p AS (SELECT n_nationkey, r_regionkey, r_name, n_name FROM nation JOIN region ON n_regionkey = r_regionkey)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleanspark.functions import geometry, rules
-from gleanspark.operators import asof, catalog, grid, matching, stats, tracks
+from gleanspark.operators import asof, catalog, grid, matching, runs, stats, tracks
 from gleanspark.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -292,24 +292,21 @@ def topk_per_group(spark, sf_dir):
     return tracks.top_per_group(table(spark, sf_dir, "events"), ["user_id"], [F.desc("value"), F.col("event_id")], 8).select("user_id", "event_id", "nth", "value")
 
 
-@query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 100")
+@query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 100")
 def latest_n(spark, sf_dir):
-    return table(spark, sf_dir, "orders").orderBy(F.desc("o_orderdate"), "o_orderkey").limit(100).select("o_orderkey", "o_custkey", "o_totalprice")
+    return runs.newest(table(spark, sf_dir, "orders"), 100, "o_orderdate", "o_orderkey").select("o_orderkey", "o_custkey", "o_totalprice")
 
 
 @query("""SELECT event_id, user_id, round(abs(value - lag(value) OVER w) / 255, 6) AS motion, coalesce(abs(value - lag(value) OVER w) / 255 > 0.35, false) AS moved
 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""")
 def prev_row_motion_flag(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    motion = F.abs(F.col("value") - F.lag("value").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))) / 255
-    return e.select("event_id", "user_id", r6(motion).alias("motion"), F.coalesce(motion > 0.35, F.lit(False)).alias("moved"))
+    return tracks.motion(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], "value").select("event_id", "user_id", r6("motion").alias("motion"), "moved")
 
 
 @query("""SELECT event_id, user_id, round(avg(value) OVER w, 6) AS rolling_mean, count(*) OVER w AS n
 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS 19 PRECEDING)""")
 def rolling_count_window(spark, sf_dir):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(-19, 0)
-    return table(spark, sf_dir, "events").select("event_id", "user_id", r6(F.avg("value").over(w)).alias("rolling_mean"), F.count("*").over(w).alias("n"))
+    return tracks.rolling(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], "value").select("event_id", "user_id", r6("rolling_mean").alias("rolling_mean"), "n")
 
 
 @query("""SELECT event_id, user_id, event_type FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events) WHERE event_type IS DISTINCT FROM b""")

@@ -53,3 +53,8 @@ def canonical_hash(fields: dict[str, Column], digits: int = 64) -> Column:
 def write_once(df: DataFrame, path: str, keys: list[str]) -> None:
     """Report rows as Parquet by key, replaced as a whole folder at a time."""
     df.write.mode("overwrite").partitionBy(*keys).parquet(path)
+
+
+def first_reasons(reasons: Column, most: int = 2) -> Column:
+    """The first reasons of a list, as one line."""
+    return F.array_join(F.slice(reasons, 1, most), ",")

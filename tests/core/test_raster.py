@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from gleanspark.operators import raster, row_lines, structure, tracks
+from gleanspark.operators import asof, pixels, raster, row_lines, structure, tracks
 
 KEYS = ["p"]
 
@@ -209,3 +209,35 @@ def test_circular_median_against_all_pairs(spark):
         mine = [(i, a) for k, i, a in rows if k == g]
         cost = lambda a: round(sum(min(abs(a - b) % 180, 180 - abs(a - b) % 180) for _, b in mine), 6)  # noqa: B023, E731
         assert got[g] == min((cost(a), i, a) for i, a in mine)[2]
+
+
+def test_dense_descriptors(spark):
+    rng = np.random.default_rng(8)
+    data = [("a", 40, 48, rng.integers(0, 256, (40, 48, 3)).astype(np.uint8)), ("b", 3, 3, rng.integers(0, 256, (3, 3, 3)).astype(np.uint8))]
+    df = spark.createDataFrame([(p, h, w, d.tobytes()) for p, h, w, d in data], "path string, height int, width int, data binary")
+    raw = pixels.dense_descriptors(df)
+    cells = raw.where("path = 'a'").collect()
+    assert len(cells) == 64 and {len(r.raw) for r in cells} == {54} and raw.where("path = 'b'").count() == 9
+    got = pixels.whitened_cells(raw, ["path"]).where("path = 'a'").collect()
+    x = np.array([r.raw for r in cells])
+    u, _, vt = np.linalg.svd(x - x.mean(0), full_matrices=False)
+    n = int((np.linalg.svd(x - x.mean(0), compute_uv=False) > 1e-8).sum())
+    z = u[:, :n] * np.sqrt(63) * np.where(vt[:n, :][np.arange(n), np.abs(vt[:n]).argmax(1)] < 0, -1, 1)
+    want = {(r.row, r.col): v / np.linalg.norm(v) for r, v in zip(cells, z, strict=True)}
+    for r in got:
+        assert len(r.embedding) == 64 and abs(np.linalg.norm(r.embedding) - 1) < 1e-5
+        assert np.allclose(r.embedding[:20], want[r.row, r.col][:20], atol=1e-4) and np.allclose(r.embedding[n:], 0)
+    one = spark.createDataFrame([("c", 0, 0, [1.0, 2.0])], "path string, row int, col int, raw array<double>")
+    assert pixels.whitened_cells(one, ["path"]).first().embedding == [0.0] * 64
+
+
+def test_nearest_over_many_buckets(spark):
+    rng = np.random.default_rng(5)
+    left = [(int(k), int(t), i) for i, (k, t) in enumerate(zip(rng.integers(0, 3, 300), rng.integers(0, 5000, 300), strict=True))] + [(None, 40, 900), (9, 1, 901)]
+    right = [(int(k), int(t), i) for i, (k, t) in enumerate(zip(rng.integers(0, 3, 40), rng.integers(0, 5000, 40) // 100 * 100, strict=True))] + [(None, 70, 500)]
+    sides = spark.createDataFrame(left, "k int, t int, a int"), spark.createDataFrame(right, "k int, rt int, b int")
+    for most in (1, 7, 100_000):
+        got = {r.a: (r.b, r.delta) for r in asof.nearest(*sides, ["k"], "t", "rt", "a", "b", rows_per_bucket=most).collect()}
+        for k, t, a in left:
+            want = min(((abs(t - rt), b) for k2, rt, b in right if k2 == k), default=(None, None))
+            assert got[a] == want[::-1]

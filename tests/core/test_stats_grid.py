@@ -92,3 +92,9 @@ def test_units_and_costs(spark):
     assert len(got) == 12 and {got[y, x] for y in range(3) for x in (0, 1)} == {1} and {got[y, x] for y in range(3) for x in (2, 3)} == {2}
     summary = {r.unit: r for r in grid.unit_summary(df.join(units, ["run", "row", "col"]), ["run"], F.lit(18.0)).collect()}
     assert summary[1].cell_count == 6 and summary[1].dominant_residue == "living" and summary[1].mean_angle is None
+
+
+def test_robust_z_of_a_null_key(spark):
+    df = spark.createDataFrame([(None, 1.0), (None, 2.0), (None, 9.0), ("a", 5.0)], "k string, v double")
+    got = {(r.k, r.v): r.z for r in stats.robust_z(df, "v", ["k"]).collect()}
+    assert got[None, 2.0] == got["a", 5.0] == 0 and abs(got[None, 9.0] - 7 / 1.4826) < 1e-9
