@@ -16,12 +16,12 @@ HEIGHT, WIDTH = 24, 32
 
 PIXELS = """
 pixels AS (
-  SELECT CAST(l_linenumber AS INT) AS frame, CAST(l_partkey % 24 AS INT) AS y, CAST(l_suppkey % 32 AS INT) AS x,
+  SELECT CAST(l_orderkey // 1000 AS INT) AS frame, CAST(l_partkey % 24 AS INT) AS y, CAST(l_suppkey % 32 AS INT) AS x,
          CAST(8 * floor(arg_min(l_quantity, l_orderkey) * 0.6) AS INT) AS b, CAST(8 * floor(arg_min(l_discount, l_orderkey) * 300) AS INT) AS g, CAST(8 * floor(arg_min(l_tax, l_orderkey) * 250) AS INT) AS r,
          CASE arg_min(l_returnflag, l_orderkey) WHEN 'A' THEN 'CROP' WHEN 'R' THEN 'BARE_SOIL' ELSE (CASE WHEN arg_min(l_quantity, l_orderkey) > 40 THEN 'ROAD_PATH' ELSE 'CROP' END) END AS label,
          (l_partkey % 24 + 2 * (l_suppkey % 32)) % 9 <> 0 AS in_field
-  FROM (SELECT DISTINCT ON (l_linenumber, l_partkey % 24, l_suppkey % 32, l_orderkey) * FROM lineitem ORDER BY l_linenumber, l_partkey % 24, l_suppkey % 32, l_orderkey, l_partkey, l_suppkey)
-  GROUP BY l_linenumber, l_partkey % 24, l_suppkey % 32)"""
+  FROM (SELECT DISTINCT ON (l_partkey % 24, l_suppkey % 32, l_orderkey) * FROM lineitem ORDER BY l_partkey % 24, l_suppkey % 32, l_orderkey, l_partkey, l_suppkey, l_linenumber)
+  GROUP BY l_orderkey // 1000, l_partkey % 24, l_suppkey % 32)"""
 OCCUPANCY = """
 px_p AS (SELECT *, (2 * g - r - b) / 255.0 AS exg FROM pixels),
 px_q AS (SELECT *, CASE WHEN exg > 0.05 THEN 1.0 ELSE 0.0 END AS veg, CASE WHEN label = 'CROP' THEN 1.0 ELSE 0.0 END AS crop,
@@ -32,9 +32,9 @@ occ AS (SELECT * EXCLUDE (soft, n, crop), CASE WHEN NOT in_field OR label IN ('R
 
 
 def pixel_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """frame, y, x, b, g, r, label, in_field: colours that are never halves of gray."""
-    keys = [F.col("l_linenumber").cast("int").alias("frame"), (F.col("l_partkey") % HEIGHT).cast("int").alias("y"), (F.col("l_suppkey") % WIDTH).cast("int").alias("x")]
-    first = lambda c: F.min_by(c, F.struct("l_orderkey", "l_partkey", "l_suppkey"))
+    """frame, y, x, b, g, r, label, in_field: colours that are never halves of gray. A frame is a thousand orders, so that their number grows with the table."""
+    keys = [F.floor(F.col("l_orderkey") / 1000).cast("int").alias("frame"), (F.col("l_partkey") % HEIGHT).cast("int").alias("y"), (F.col("l_suppkey") % WIDTH).cast("int").alias("x")]
+    first = lambda c: F.min_by(c, F.struct("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"))
     colour = lambda c, k: (8 * F.floor(first(c) * k)).cast("int")
     flag = first("l_returnflag")
     label = F.when(flag == "A", "CROP").when(flag == "R", "BARE_SOIL").when(first("l_quantity") > 40, "ROAD_PATH").otherwise("CROP")
@@ -132,14 +132,16 @@ def mask_priority(spark, sf_dir):
 
 
 LINES = """
-lines AS (SELECT CAST(n_nationkey % 7 + 1 AS INT) AS frame, n_nationkey * 7.0 + 1.3 AS angle, n_regionkey * 6.0 + 0.7 AS ofs FROM nation),
+lines AS (SELECT frame, (frame * 7 + k * 23) % 180 + 1.3 AS angle, k * 9.0 + 0.7 AS ofs FROM (SELECT DISTINCT CAST(l_orderkey // 1000 AS INT) AS frame FROM lineitem), range(3) AS r(k)),
 away AS (SELECT p.frame, y, x, g, r, b, ofs, abs(x * cos(radians(angle - 90.0)) + y * sin(radians(angle - 90.0)) - ofs) AS d FROM pixels p JOIN lines USING (frame)),
 near AS (SELECT frame, y, x, any_value(g) AS g, any_value(r) AS r, any_value(b) AS b, CASE WHEN min(d) <= 5 THEN arg_min(ofs, d) END AS line_offset FROM away GROUP BY frame, y, x)"""
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nation = table(spark, sf_dir, "nation")
-    return nation.select((F.col("n_nationkey") % 7 + 1).cast("int").alias("frame"), (F.col("n_nationkey") * 7.0 + 1.3).alias("angle"), (F.col("n_regionkey") * 6.0 + 0.7).alias("offset"))
+    """Three lines in each picture."""
+    frames = table(spark, sf_dir, "lineitem").select(F.floor(F.col("l_orderkey") / 1000).cast("int").alias("frame")).distinct()
+    each = frames.select("frame", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("k"))
+    return each.select("frame", ((F.col("frame") * 7 + F.col("k") * 23) % 180 + 1.3).alias("angle"), (F.col("k") * 9.0 + 0.7).alias("offset"))
 
 
 @query(f"WITH {PIXELS}, {LINES} SELECT frame, y, x, round(line_offset, 6) AS line_offset FROM near")
