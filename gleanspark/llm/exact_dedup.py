@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleanspark.llm.skew import spread_lookup
+from gleanspark.operators.lookup import spread_lookup
 from gleanspark.session import materialize
 
 #: Whitespace that counts as one space: fixed values of the task.

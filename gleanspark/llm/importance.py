@@ -6,7 +6,7 @@ go to its bucket, the buckets' gains (how much likelier the bucket is in the tar
 (block, tuple) pairs, and so to the documents of each block, whose weight is the floored mean of their features' gains. Gumbel noise of a hash of the id turns weights into
 scores, of which the highest are drawn without replacement.
 
-Lookups by word and by tuple go through ``skew.spread_lookup``: a word found in every block is no hot key. Buckets are broadcast
+Lookups by word and by tuple go through ``lookup.spread_lookup``: a word found in every block is no hot key. Buckets are broadcast
 (``buckets`` is a parameter, at most ``BROADCAST_BUCKETS``). Ranks come from a range exchange of slim rows whose parts are numbered apart.
 
 Defined cases: null and empty texts have no features and weight 0; null targets add nothing, an empty target leaves every t at 0; repeated rows and
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleanspark.llm import word_blocks as wb
-from gleanspark.llm.skew import spread_lookup
+from gleanspark.operators.lookup import spread_lookup
 from gleanspark.session import materialize
 
 BROADCAST_BUCKETS = 1_000_000

@@ -7,7 +7,7 @@ everywhere. What stays is joined by ``\\n`` in the old order.
 
 Only hashes, ids and positions are shuffled to count and to find lines; the texts move once, when each meets
 its own list of positions. That list is keyed by document (id and text together), and rows that repeat one document often are answered where
-they lie (``skew.spread_lookup``), so neither hot texts nor repeated rows are hot keys; counting goes by (hash, id) first, so a hot line isn't one either. The frequent keys are broadcast when
+they lie (``lookup.spread_lookup``), so neither hot texts nor repeated rows are hot keys; counting goes by (hash, id) first, so a hot line isn't one either. The frequent keys are broadcast when
 their counted number is at most ``broadcast_keys`` (16 bytes each), else joined by shuffle.
 
 Defined cases: null and empty texts are one empty line; an empty key is never dropped (``min_chars`` >= 1);
@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleanspark.llm.skew import spread_lookup
+from gleanspark.operators.lookup import spread_lookup
 from gleanspark.session import materialize
 
 #: The characters stripped from both ends of a line.

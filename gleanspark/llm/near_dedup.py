@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleanspark.llm.skew import spread_lookup
+from gleanspark.operators.lookup import components, spread_lookup
 from gleanspark.session import materialize, ship
 
 BANDS, ROWS, SHINGLE, SIMILAR = 32, 5, 5, 0.8
@@ -179,25 +179,6 @@ def banded(rows: DataFrame, keep: list[str], seed: int, n_bands: int = BANDS, n_
     return rows.select(*keep, "shingles").mapInArrow(run, f"{types}, buckets array<long>")
 
 
-def components(edges: DataFrame, label: str = "components") -> DataFrame:
-    """(node, comp) for the nodes of edges(a, b): comp is the smallest node that can be reached. Large and small stars in turn."""
-    edges = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), label)
-    size = edges.count()
-    least_of = lambda e: e.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-    while size:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = materialize(least_of(both).withColumn("m", F.least("m", "a")), f"{label}-least")
-        large = spread_lookup(both, least, "a", "n").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        large = materialize(large, f"{label}-large")
-        least = materialize(least_of(large), f"{label}-least")
-        small = spread_lookup(large, least, "a", "n").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b")).where("a <> b")
-        after = materialize(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), label)
-        if after.count() == size and after.exceptAll(edges).isEmpty():
-            break
-        edges, size = after, after.count()
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("comp"))
-
-
 class _Search:
     """Rounds of checks over bucket memberships (bucket, node); keeps the components found so far."""
 

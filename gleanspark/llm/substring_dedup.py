@@ -9,7 +9,7 @@ A window is ``window`` consecutive words of a document; words covered by a windo
 3. Intervals go back to all places of their segment, by document, and cover words there.
 
 An anchor with more than ``HOT`` distinct segments (or 1/100,000 of all, so that such anchors can be broadcast) is cut into single windows, each dealt by its own hash: equal ones are one row by
-then, so that no anchor is a hot key. Lookups of segments go through ``skew.spread_lookup``. Documents are a written table numbered by row, so that equal rows or ids meet nowhere.
+then, so that no anchor is a hot key. Lookups of segments go through ``lookup.spread_lookup``. Documents are a written table numbered by row, so that equal rows or ids meet nowhere.
 Anchors and equal segments are told by 64 and 128 bits of hash; the index compares words themselves.
 
 Defined cases: words are kept apart by ``[\\x20\\x09-\\x0D]`` and otherwise unchanged; null and texts without words stay without words (empty text); documents shorter than a window
@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleanspark.llm.fm_index import FmIndex
-from gleanspark.llm.skew import spread_lookup
 from gleanspark.llm.word_blocks import slices, split_words
+from gleanspark.operators.lookup import spread_lookup
 from gleanspark.session import materialize, ship
 
 ANCHOR, HOT = 6, 2_000

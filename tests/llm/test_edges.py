@@ -8,7 +8,8 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from gleanspark.llm import bpe, exact_dedup, language_id, line_dedup, mpeg_audio, near_dedup, packing, pii, quality, sharding, skew
+from gleanspark.llm import bpe, exact_dedup, language_id, line_dedup, mpeg_audio, near_dedup, packing, pii, quality, sharding
+from gleanspark.operators import lookup as skew
 from tests.llm.test_exact_line import plain_lines
 
 BYTES, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
