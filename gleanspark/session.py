@@ -65,10 +65,26 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(context.applicationId)
 
 
+_scratches: dict[str, str] = {}
+
+
+def scratch(spark: SparkSession) -> str:
+    """The application's own folder in the shared one; Hadoop deletes it when the driver's JVM ends in good order."""
+    context = spark.sparkContext
+    if context.applicationId not in _scratches:
+        folder = f"{shared_dir(spark)}/gleanspark/{context.applicationId}"
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        files = path.getFileSystem(context._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _scratches[context.applicationId] = folder
+    return _scratches[context.applicationId]
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     ship(spark)
-    path = f"{shared_dir(spark)}/gleanspark/{label}-{uuid.uuid4().hex}"
+    path = f"{scratch(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
