@@ -40,7 +40,7 @@ from gleanspark.session import materialize, ship
 
 BANDS, ROWS, SHINGLE, SIMILAR = 32, 5, 5, 0.8
 BLOCK = 256
-PAIRS = 1_000
+PAIRS = 128
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 CHUNK = 1_000_000
 
