@@ -81,10 +81,10 @@ def scratch(spark: SparkSession) -> str:
     return _scratches[context.applicationId]
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
+def materialize(df: DataFrame, label: str, codec: str | None = None) -> DataFrame:
+    """Write df as Parquet in the shared folder (compressed by ``codec``, or as the session has it) and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     ship(spark)
     path = f"{scratch(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return spark.read.schema(df.schema).parquet(path)
