@@ -365,7 +365,7 @@ def sequences(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col:
     """
     kind_of_id = "<u2" if max(end_id, int(word_bpe(tokenizer).ids.max()), word_bpe(tokenizer).whole.get_vocab_size()) < 1 << 16 else "<u4"
     number = "piece" if id_col != "piece" else "piece_"
-    tokens = materialize(tokenize(docs, tokenizer, id_col, text_col, end_id, capacity, kind_of_id).withColumn(number, F.monotonically_increasing_id()), "tokens")
+    tokens = materialize(tokenize(docs, tokenizer, id_col, text_col, end_id, capacity, kind_of_id).withColumn(number, F.monotonically_increasing_id()), "tokens", "zstd")
     placed = pack(tokens.select(number, "length"), [number], "length", capacity, wide=tokens)
     return assembled(placed, id_col, capacity, end_id if pad_id is None else pad_id, kind_of_id)
 
