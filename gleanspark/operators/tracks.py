@@ -18,9 +18,9 @@ def top_per_group(df: DataFrame, keys: list[str], order: list[Column], n: int) -
 
 
 def candidates(cells: DataFrame, run: str = "run_id", medium: float = rules.MEDIUM, most: int = 8) -> DataFrame:
-    """Per frame the strongest valid cells with base >= .75 medium; ties in row-major order."""
+    """Per frame the strongest valid cells with base >= .75 medium; ties in row-major order. Bars are the decimal products: 0.75 * 0.38 is 0.285, not the double above it."""
     base = F.greatest("appearance", "structural")
-    kept = cells.withColumn("base", base).where("valid").where(F.col("base") >= 0.75 * medium)
+    kept = cells.withColumn("base", base).where("valid").where(F.col("base") >= round(0.75 * medium, 12))
     return top_per_group(kept, [run, "frame"], [F.desc("base"), F.col("row"), F.col("col")], most)
 
 
@@ -83,7 +83,7 @@ def zones(tracked: DataFrame, frames: DataFrame, run: str = "run_id", least_fram
         F.min_by(F.struct("row", "col"), strongest).alias("cell"),
     )
     runs = frames.groupBy(run).agg(F.count("*").alias("total"), F.sum("quality_weight").alias("run_weight"))
-    z = per.where(F.col("seen") >= least_frames).join(runs, run).withColumn("anomaly", F.greatest("appearance", "structural")).where(F.col("anomaly") >= 0.85 * medium)
+    z = per.where(F.col("seen") >= least_frames).join(runs, run).withColumn("anomaly", F.greatest("appearance", "structural")).where(F.col("anomaly") >= round(0.85 * medium, 12))
     z = z.withColumn("persistence", clip(F.col("weight") / F.greatest("run_weight", F.lit(1e-3)), 0.0, 1.0)).withColumn("review", rules.review_score(F.col("anomaly"), F.col("persistence")))
     level = rules.capped_priority(rules.priority(F.col("review"), high, medium), rules.consensus(F.col("appearance"), F.col("structural"), F.col("persistence")))
     z = z.withColumn("priority", level).withColumn("location", place(F.col("cx"), F.col("cy"))).withColumn("observations", F.least("seen", "total"))
