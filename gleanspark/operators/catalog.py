@@ -48,11 +48,12 @@ def latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
 
 
 def upsert(table: DataFrame, changes: DataFrame, keys: list[str], only: list[str] | None = None) -> DataFrame:
-    """table with changes merged in by keys: all columns replaced, or, for keys that exist, those in ``only``."""
+    """table with changes (at most one per key) merged in by keys, nulls being equal: all columns replaced, or, for keys that exist, those in ``only``."""
     columns = [c for c in table.columns if c not in keys]
-    old = table.select(*keys, *[F.col(c).alias(f"_old_{c}") for c in columns], F.lit(True).alias("_had"))
-    new = changes.select(*keys, *[F.col(c).alias(f"_new_{c}") for c in columns], F.lit(True).alias("_has"))
-    both = old.join(new, keys, "full")
+    old = table.select(*[F.col(c).alias(f"_old_{c}") for c in table.columns], F.lit(True).alias("_had"))
+    new = changes.select(*[F.col(c).alias(f"_new_{c}") for c in table.columns], F.lit(True).alias("_has"))
+    same = [F.col(f"_old_{k}").eqNullSafe(F.col(f"_new_{k}")) for k in keys]
+    both = old.join(new, same, "full").select("*", *[F.when(F.col("_had").isNotNull(), F.col(f"_old_{k}")).otherwise(F.col(f"_new_{k}")).alias(k) for k in keys])
     pick = lambda c: F.when(F.col("_has").isNull() | (F.col("_had").isNotNull() & F.lit(only is not None and c not in only)), F.col(f"_old_{c}")).otherwise(F.col(f"_new_{c}"))
     return both.select(*[F.col(c) if c in keys else pick(c).alias(c) for c in table.columns])
 
