@@ -15,6 +15,12 @@ from gleanspark.operators.quantiles import exact_quantiles, medians
 MAD_SCALE = 1.4826
 
 
+def serial_mean(values: Column) -> Column:
+    """The mean of an array of doubles without its nulls (none: null), added from first to last."""
+    known = F.filter(values, lambda x: x.isNotNull())
+    return F.aggregate(known, F.lit(0.0), lambda total, x: total + x) / F.nullif(F.size(known), F.lit(0))
+
+
 def _with(df: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
     """df with the columns of table, one row per group; null keys are groups too."""
     named = table.select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], *[c for c in table.columns if c not in keys])
