@@ -1,7 +1,7 @@
 """Crop rows of masks: votes for lines, their peaks, segments on them, rows, per picture or per unit.
 
-Every pixel votes for the lines through it, one per whole degree of the normal, at whole distances; partial counts add up per task, so a picture's votes are never
-gathered. Peaks are votes that no stronger one nearby overrules; nearby is an equi-join on coarse buckets. Each pixel counts for its strongest peak; along a peak's line,
+Every pixel votes for the lines through it, one per whole degree of the normal, at whole distances; a task counts sectors of angles of some pictures, so a picture's votes are
+never gathered, and tasks grow in number with the pixels. Peaks are votes that no stronger one nearby overrules; nearby is an equi-join on coarse buckets. Each pixel counts for its strongest peak; along a peak's line,
 pixels more than a gap apart are different segments. Segments near the dominant angle merge into rows by their distance from each other.
 
 Sines are whole millionths, so that distances are whole-number arithmetic, the same in every engine.
@@ -17,12 +17,15 @@ from pyspark.sql import functions as F
 
 from gleanspark.operators.grid import cell_of
 from gleanspark.operators.tracks import circular_median, islands
+from gleanspark.session import dealt, materialize
 
 MILLION = 1_000_000
 #: Votes, length and gap of a segment, tolerances in angle and position, support of a row, longest side looked at, in pixels or degrees.
 VOTES, LENGTH, GAP, ANGLE, POSITION, SUPPORT, SIDE = 30, 20, 10, 12.0, 15.0, 60.0, 800
 #: Peaks this near to a stronger one, in degrees and pixels, are overruled.
 NEAR_ANGLE, NEAR_RHO = 5, 8
+#: Degrees that one task counts together, and the votes it counts.
+SECTOR, VOTES_PER_TASK = 15, 2_000_000
 
 
 def trig(angle: Column) -> tuple[Column, Column]:
@@ -56,8 +59,12 @@ def scaled(pixels: DataFrame, keys: list[str], shapes: DataFrame, side: int = SI
 
 def votes(pixels: DataFrame, keys: list[str]) -> DataFrame:
     """keys..., angle (of the normal, 0 to 179), rho, n."""
-    each = pixels.select(*keys, "x", "y", F.explode(F.sequence(F.lit(0), F.lit(179))).alias("angle"))
-    return each.select(*keys, "angle", distance(F.col("x"), F.col("y"), *trig(F.col("angle"))).alias("rho")).groupBy(*keys, "angle", "rho").agg(F.count("*").alias("n"))
+    pixels = materialize(pixels.select(*keys, "x", "y"), "pixels")
+    sectors = pixels.select(*keys, "x", "y", F.explode(F.sequence(F.lit(0), F.lit(180 // SECTOR - 1))).alias("sector"))
+    sectors = dealt(sectors, pixels.count() * 180, VOTES_PER_TASK, *keys, "sector")
+    each = sectors.select(*keys, "sector", "x", "y", F.explode(F.sequence(F.col("sector") * SECTOR, F.col("sector") * SECTOR + SECTOR - 1)).alias("angle"))
+    counted = each.select(*keys, "sector", "angle", distance(F.col("x"), F.col("y"), *trig(F.col("angle"))).alias("rho")).groupBy(*keys, "sector", "angle", "rho").agg(F.count("*").alias("n"))
+    return counted.drop("sector")
 
 
 def peaks(counted: DataFrame, keys: list[str], least: int = VOTES) -> DataFrame:

@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from gleanspark.functions import geometry
 from gleanspark.operators import raster, row_lines, structure
 from gleanspark.plans.queries import query, r6
-from gleanspark.session import materialize, table
+from gleanspark.session import dealt, materialize, table
 from gleanspark.sources import containers
 
 ORDERS = 1000
 HEIGHT, WIDTH = 24, 32
 ROWS_HEIGHT, ROWS_WIDTH = 60, 100
+PIXELS_PER_TASK = 300_000
 
 MASK = f"""
 shapes AS (SELECT DISTINCT CAST(l_orderkey // {ORDERS} AS INT) AS frame, {HEIGHT} AS height, {WIDTH} AS width FROM lineitem),
@@ -166,8 +167,9 @@ def _stripes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pixels of slanted crop rows: frame, unit, y, x."""
     frame, y = F.floor(F.col("l_orderkey") / ORDERS), F.col("l_partkey") % ROWS_HEIGHT
     x = 20 * (F.col("l_suppkey") % 5) + F.col("l_quantity").cast("int") % 2 + F.floor(y / F.when(frame % 2 == 0, 6).otherwise(3))
-    lines = table(spark, sf_dir, "lineitem").where("l_quantity < 45")
-    return lines.select(frame.cast("int").alias("frame"), (F.col("l_partkey") % 2).cast("int").alias("unit"), y.cast("int").alias("y"), x.cast("int").alias("x")).distinct()
+    lines = table(spark, sf_dir, "lineitem")
+    pixels = lines.where("l_quantity < 45").select(frame.cast("int").alias("frame"), (F.col("l_partkey") % 2).cast("int").alias("unit"), y.cast("int").alias("y"), x.cast("int").alias("x"))
+    return dealt(pixels, lines.count(), PIXELS_PER_TASK, "frame").distinct()
 
 
 def _found_rows(pixels: DataFrame, keys: list[str]) -> DataFrame:

@@ -88,3 +88,8 @@ def materialize(df: DataFrame, label: str, codec: str | None = None) -> DataFram
     path = f"{scratch(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path, compression=codec)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def dealt(df: DataFrame, rows: int, per_task: int, *keys: str) -> DataFrame:
+    """df dealt by keys to as many tasks as its about ``rows`` rows need at ``per_task`` each: what a task holds does not grow with the table, whatever the session's partitions."""
+    return df.repartition(max(1, -(-rows // per_task)), *keys)
