@@ -11,6 +11,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanspark.operators.field import gap_along_row
+from gleanspark.session import dealt, materialize
+
+#: Probes of a cell, about, and the pixels and probes that one task holds.
+PROBES, ROWS_PER_TASK = 16, 500_000
 
 
 def cell_bounds(shapes: DataFrame, keys: list[str], rows: int = 8, cols: int = 8) -> DataFrame:
@@ -27,15 +31,20 @@ def continuity(pixels: DataFrame, angles: DataFrame, keys: list[str], shapes: Da
     Along the rows' direction every cell probes the pixels before and behind its middle (1/16 of the longest side either way, coordinates cut toward zero); probes meet pixels by an equi-join, and a
     cell's few samples are looked through for a gap between two occupied runs.
     """
+    pixels = materialize(pixels.select(*keys, "y", "x", F.col(value).cast("double").alias("_v")), "occupancy")
+    angles = materialize(angles, "angles")
+    size = pixels.count() + angles.count() * rows * cols * PROBES
     cells = cell_bounds(shapes, keys, rows, cols).join(angles, keys).where(F.col("angle").isNotNull())
     reach = F.floor(F.greatest("height", "width") / 16).cast("int")
     probes = cells.select(*keys, "height", "width", "row", "col", "angle", "x0", "x1", "y0", "y1", F.explode(F.sequence(-reach, reach)).alias("i"))
     along = lambda lo, hi, turn: ((F.col(lo) + F.col(hi)) / 2.0 + F.col("i") * turn(F.radians("angle"))).cast("int")
     probes = probes.select(*keys, "height", "width", "row", "col", "angle", "i", along("x0", "x1", F.cos).alias("x"), along("y0", "y1", F.sin).alias("y"))
-    met = probes.join(pixels.select(*keys, "y", "x", F.col(value).cast("double").alias("_v")), [*keys, "y", "x"], "left")
+    place = [*keys, "y", "x"]
+    met = dealt(probes, size, ROWS_PER_TASK, *place).join(dealt(pixels, size, ROWS_PER_TASK, *place), place, "left")
     inside = (F.col("x") >= 0) & (F.col("x") < F.col("width")) & (F.col("y") >= 0) & (F.col("y") < F.col("height"))
     sample = F.struct("i", F.when(inside, F.coalesce("_v", F.lit(0.0))).alias("v"))
-    profiles = met.groupBy(*keys, "row", "col", "angle").agg(F.transform(F.array_sort(F.collect_list(sample)), lambda s: s["v"]).alias("_profile"))
+    samples = dealt(met.select(*keys, "row", "col", "angle", sample.alias("_s")), size, ROWS_PER_TASK, *keys, "row", "col")
+    profiles = samples.groupBy(*keys, "row", "col", "angle").agg(F.transform(F.array_sort(F.collect_list("_s")), lambda s: s["v"]).alias("_profile"))
 
     @F.pandas_udf("double")
     def score(lists: pd.Series) -> pd.Series:
