@@ -19,6 +19,7 @@ from gleanspark.session import materialize, ship
 
 BAND = 64
 REACH = 256
+RUNS_PER_TASK = 200_000
 
 
 def ellipse(size: int) -> list[tuple[int, int]]:
@@ -39,8 +40,19 @@ def run_pixels(runs: DataFrame, keys: list[str]) -> DataFrame:
     return runs.select(*keys, "y", F.explode(F.sequence("x0", F.col("x1") - 1)).alias("x"))
 
 
-def merged(runs: DataFrame, keys: list[str]) -> DataFrame:
-    """Runs that overlap or touch are one."""
+def line_tasks(runs: DataFrame, shapes: DataFrame) -> int:
+    """The tasks that lines and runs (written tables) need, so that what a task holds does not grow with the number of pictures."""
+    lines = shapes.agg(F.sum("height")).first()[0] or 0
+    return max(1, -(-(runs.count() + lines) // RUNS_PER_TASK))
+
+
+def _by(df: DataFrame, keys: list[str], tasks: int | None) -> DataFrame:
+    return df.repartition(tasks, *keys) if tasks else df
+
+
+def merged(runs: DataFrame, keys: list[str], tasks: int | None = None) -> DataFrame:
+    """Runs that overlap or touch are one. tasks: what lines are dealt to (as the session has it)."""
+    runs = _by(runs, [*keys, "y"], tasks)
     line = Window.partitionBy(*keys, "y").orderBy("x0", "x1")
     before = F.max("x1").over(line.rowsBetween(Window.unboundedPreceding, -1))
     fresh = (before.isNull() | (F.col("x0") > before)).cast("int")
@@ -49,42 +61,44 @@ def merged(runs: DataFrame, keys: list[str]) -> DataFrame:
     return marked.groupBy(*keys, "y", "_g").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1")).drop("_g")
 
 
-def complement(runs: DataFrame, keys: list[str], shapes: DataFrame) -> DataFrame:
+def complement(runs: DataFrame, keys: list[str], shapes: DataFrame, tasks: int | None = None) -> DataFrame:
     """The pixels outside of merged runs, as runs."""
     lines = shapes.select(*keys, F.explode(F.sequence(F.lit(0), F.col("height") - 1)).alias("y"), F.col("width").alias("x0"), F.col("width").alias("x1"))
-    ends = runs.select(*keys, "y", "x0", "x1").unionByName(lines)
+    ends = _by(runs.select(*keys, "y", "x0", "x1").unionByName(lines), [*keys, "y"], tasks)
     before = F.lag("x1", 1, 0).over(Window.partitionBy(*keys, "y").orderBy("x0", "x1"))
     return ends.withColumn("_b", before).where("_b < x0").select(*keys, "y", F.col("_b").alias("x0"), F.col("x0").alias("x1"))
 
 
-def dilated(runs: DataFrame, keys: list[str], shapes: DataFrame, element: list[tuple[int, int]]) -> DataFrame:
+def dilated(runs: DataFrame, keys: list[str], shapes: DataFrame, element: list[tuple[int, int]], tasks: int | None = None) -> DataFrame:
     """Each run grows into the lines around it, by the element's half width there."""
     steps = F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(w).alias("w")) for dy, w in element])).alias("s")
-    grown = runs.select(*keys, "y", "x0", "x1", steps).join(shapes, keys)
+    grown = _by(runs.select(*keys, "y", "x0", "x1"), keys, tasks).join(_by(shapes, keys, tasks), keys).select("*", steps)
     grown = grown.select(*keys, (F.col("y") + F.col("s.dy")).alias("y"), F.greatest(F.col("x0") - F.col("s.w"), F.lit(0)).alias("x0"), F.least(F.col("x1") + F.col("s.w"), F.col("width")).alias("x1"), "height")
-    return merged(grown.where("y >= 0 AND y < height"), keys)
+    return merged(grown.where("y >= 0 AND y < height"), keys, tasks)
 
 
-def eroded(runs: DataFrame, keys: list[str], shapes: DataFrame, element: list[tuple[int, int]]) -> DataFrame:
+def eroded(runs: DataFrame, keys: list[str], shapes: DataFrame, element: list[tuple[int, int]], tasks: int | None = None) -> DataFrame:
     """What stays of a mask when its complement grows."""
-    return complement(dilated(complement(runs, keys, shapes), keys, shapes, element), keys, shapes)
+    return complement(dilated(complement(runs, keys, shapes, tasks), keys, shapes, element, tasks), keys, shapes, tasks)
 
 
-def opened(runs: DataFrame, keys: list[str], shapes: DataFrame, element: list[tuple[int, int]], times: int = 1) -> DataFrame:
+def opened(runs: DataFrame, keys: list[str], shapes: DataFrame, element: list[tuple[int, int]], times: int = 1, tasks: int | None = None) -> DataFrame:
     for step in [eroded] * times + [dilated] * times:
-        runs = step(runs, keys, shapes, element)
+        runs = step(runs, keys, shapes, element, tasks)
     return runs
 
 
-def closed(runs: DataFrame, keys: list[str], shapes: DataFrame, element: list[tuple[int, int]], times: int = 1) -> DataFrame:
+def closed(runs: DataFrame, keys: list[str], shapes: DataFrame, element: list[tuple[int, int]], times: int = 1, tasks: int | None = None) -> DataFrame:
     for step in [dilated] * times + [eroded] * times:
-        runs = step(runs, keys, shapes, element)
+        runs = step(runs, keys, shapes, element, tasks)
     return runs
 
 
 def cleaned(runs: DataFrame, keys: list[str], shapes: DataFrame) -> DataFrame:
     """A segmenter's mask: opened once, then closed twice over, with the ellipse of size 5."""
-    return closed(opened(runs, keys, shapes, ellipse(5)), keys, shapes, ellipse(5), 2)
+    runs, shapes = materialize(runs, "mask"), materialize(shapes, "shapes")
+    tasks = line_tasks(runs, shapes)
+    return closed(opened(runs, keys, shapes, ellipse(5), tasks=tasks), keys, shapes, ellipse(5), 2, tasks)
 
 
 def _joined_runs(y: np.ndarray, x0: np.ndarray, x1: np.ndarray, d: int) -> np.ndarray:
@@ -147,10 +161,12 @@ def areas(labels: DataFrame, keys: list[str], shapes: DataFrame) -> DataFrame:
 
 def field_mask(runs: DataFrame, keys: list[str], shapes: DataFrame, least_share: float = 0.02, most_hole: float = 0.008, of_largest: float = 0.15) -> DataFrame:
     """The analysable field: opened by the ellipse of size 3, small inner holes filled, small components dropped."""
-    mask = materialize(opened(runs, keys, shapes, ellipse(3)), "field-mask")
-    holes = materialize(labelled(complement(mask, keys, shapes), keys), "holes")
+    runs, shapes = materialize(runs, "mask"), materialize(shapes, "shapes")
+    tasks = line_tasks(runs, shapes)
+    mask = materialize(opened(runs, keys, shapes, ellipse(3), tasks=tasks), "field-mask")
+    holes = materialize(labelled(complement(mask, keys, shapes, tasks), keys), "holes")
     small = areas(holes, keys, shapes).where((F.col("area") <= F.floor(F.lit(most_hole) * F.col("pixels"))) & ~F.col("at_edge"))
-    filled = merged(mask.unionByName(holes.join(small.select(*keys, "component"), [*keys, "component"], "left_semi").drop("component")), keys)
+    filled = merged(mask.unionByName(holes.join(small.select(*keys, "component"), [*keys, "component"], "left_semi").drop("component")), keys, tasks)
     labels = materialize(labelled(filled, keys), "field-parts")
     size = areas(labels, keys, shapes)
     bar = size.groupBy(*keys).agg(F.greatest(F.floor(F.lit(least_share) * F.max("pixels")), F.floor(F.lit(of_largest) * F.max("area"))).alias("bar"))

@@ -32,7 +32,8 @@ def _mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A mask's pixels, blocks with holes: frame, y, x."""
     keys = [F.floor(F.col("l_orderkey") / ORDERS).cast("int").alias("frame"), (F.col("l_partkey") % HEIGHT).cast("int").alias("y"), (F.col("l_suppkey") % WIDTH).cast("int").alias("x")]
     block = F.floor(F.col("l_partkey") % HEIGHT / 7) + F.floor(F.col("l_suppkey") % WIDTH / 9) + F.floor(F.col("l_orderkey") / ORDERS)
-    return table(spark, sf_dir, "lineitem").where((F.col("l_quantity") < 30) & (block % 3 != 0)).select(*keys).distinct()
+    lines = table(spark, sf_dir, "lineitem")
+    return dealt(lines.where((F.col("l_quantity") < 30) & (block % 3 != 0)).select(*keys), lines.count(), PIXELS_PER_TASK, "frame", "y").distinct()
 
 
 def _element(size: int) -> str:

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from gleanspark.operators import row_lines, structure
+from gleanspark.operators import raster, row_lines, structure
 
 
 @pytest.fixture()
@@ -25,6 +25,15 @@ def test_votes(pixels, monkeypatch):
     assert {tuple(r) for r in got.collect()} == want and sum(r[-1] for r in want) == 900_000
 
 
+def test_lines_of_masks(pixels, shapes, monkeypatch):
+    runs = raster.mask_runs(pixels, ["frame"])
+    want = {tuple(r) for r in raster.cleaned(runs, ["frame"], shapes).collect()}
+    monkeypatch.setattr(raster, "RUNS_PER_TASK", 100)
+    got = raster.cleaned(runs, ["frame"], shapes)
+    assert got.rdd.getNumPartitions() == 12  # 200 lines and 1,000 runs
+    assert {tuple(r) for r in got.collect()} == want
+
+
 def test_probes(pixels, shapes, monkeypatch):
     values, angles = pixels.withColumn("value", F.lit(0.9)), shapes.select("frame", F.lit(30.0).alias("angle"))
     want = {tuple(r) for r in structure.continuity(values, angles, ["frame"], shapes).collect()}
