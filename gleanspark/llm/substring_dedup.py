@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from gleanspark.llm.fm_index import FmIndex
 from gleanspark.llm.word_blocks import slices, split_words
 from gleanspark.operators.lookup import spread_lookup
-from gleanspark.session import materialize, ship
+from gleanspark.session import discard, materialize, ship
 
 ANCHOR, HOT = 6, 2_000
 WORDS_PER_SHARD = 700_000
@@ -124,6 +124,14 @@ def repeated_only(found: DataFrame) -> DataFrame:
     return spread_lookup(found, many, "anchor", "n").where("many").drop("many")
 
 
+def repeated_places(docs: DataFrame, window: int, label: str, hot: list[int] | None = None) -> DataFrame:
+    """``repeated_only`` of ``places``, a written table; all places lie on disk only until it is."""
+    every = materialize(places(docs, window, hot), label, "zstd")
+    found = materialize(repeated_only(every), f"repeated-{label}", "zstd")
+    discard(every)
+    return found
+
+
 def distinct_segments(found: DataFrame) -> DataFrame:
     """One row per distinct segment: n places, and one of them."""
     return found.groupBy("anchor", "seg").agg(F.count("*").alias("n"), F.min("rn").alias("rn"), F.min_by("start", "rn").alias("start"), F.max("windows").alias("windows"))
@@ -176,20 +184,23 @@ def indexed(texts: DataFrame, shards: int, window: int) -> DataFrame:
 
 def covered(docs: DataFrame, window: int, hot_segments: int = HOT, words_per_shard: int = WORDS_PER_SHARD) -> DataFrame:
     """rn, froms, tos: the spans of words to remove from docs(rn, body), a written table."""
-    found = materialize(repeated_only(materialize(places(docs, window), "segments")), "repeated-segments")
-    distinct = materialize(distinct_segments(found), "distinct-segments")
+    found = repeated_places(docs, window, "segments")
+    distinct = materialize(distinct_segments(found), "distinct-segments", "zstd")
     bound = max(hot_segments, distinct.count() // 100_000)
     hot = distinct.groupBy("anchor").agg(F.count("*").alias("m")).where(F.col("m") > bound)
     wanted = [r.anchor for r in hot.collect()]  # at most 100,000
     if wanted:
         apart = docs.sparkSession.createDataFrame([(a,) for a in wanted], "anchor long")
-        single = repeated_only(materialize(places(docs, window, wanted), "windows"))
-        found = materialize(found.join(F.broadcast(apart), "anchor", "left_anti").select("rn", "start", "windows", "anchor", "seg").unionAll(single), "repeated-segments")
-        distinct = materialize(distinct_segments(found), "distinct-segments")
+        whole, single = (found, distinct), repeated_places(docs, window, "windows", wanted)
+        found = materialize(found.join(F.broadcast(apart), "anchor", "left_anti").select("rn", "start", "windows", "anchor", "seg").unionAll(single), "repeated-segments", "zstd")
+        distinct = materialize(distinct_segments(found), "distinct-segments", "zstd")
+        for table in (*whole, single):
+            discard(table)
     words = distinct.agg(F.coalesce(F.sum(F.col("windows") + window - 1), F.lit(0))).first()[0]
     texts = segment_texts(docs, distinct, window)
     key = F.array("anchor", "seg").alias("key")
-    results = materialize(indexed(texts, max(1, -(-words // words_per_shard)), window).select(key, "n", "spans"), "segment-spans")
+    results = materialize(indexed(texts, max(1, -(-words // words_per_shard)), window).select(key, "n", "spans"), "segment-spans", "zstd")
+    discard(distinct)
     hits = spread_lookup(found.select("rn", "start", key), results, "key", "n").where("spans IS NOT NULL")
     spans = hits.select("rn", "start", F.explode("spans").alias("s"))
     return spans.groupBy("rn").agg(F.collect_list(F.col("start") + F.col("s.from")).alias("froms"), F.collect_list(F.col("start") + F.col("s.to")).alias("tos"))  # of one document
@@ -202,7 +213,7 @@ def substring_dedup(docs: DataFrame, text_col: str = "text", window: int = 35, o
     ship(docs.sparkSession)
     kept = [c for c in docs.columns if c.lower() != out.lower()]
     others = F.struct(F.lit(0).alias("c"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(kept) if c != text_col]).alias("row")
-    numbered = materialize(docs.select(F.monotonically_increasing_id().alias("rn"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("body"), others), "numbered")
+    numbered = materialize(docs.select(F.monotonically_increasing_id().alias("rn"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("body"), others), "numbered", "zstd")
     rows = numbered.join(covered(numbered, window, hot_segments, words_per_shard), "rn", "left").select("row", "body", "froms", "tos")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

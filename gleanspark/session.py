@@ -90,6 +90,14 @@ def materialize(df: DataFrame, label: str, codec: str | None = None) -> DataFram
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(written: DataFrame) -> None:
+    """Delete a table that ``materialize`` wrote and nothing will read any more."""
+    context = written.sparkSession.sparkContext
+    for file in written.inputFiles()[:1]:
+        folder = context._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def dealt(df: DataFrame, rows: int, per_task: int, *keys: str) -> DataFrame:
     """df dealt by keys to as many tasks as its about ``rows`` rows need at ``per_task`` each: what a task holds does not grow with the table, whatever the session's partitions."""
     return df.repartition(max(1, -(-rows // per_task)), *keys)
